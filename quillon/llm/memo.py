@@ -1,0 +1,36 @@
+"""Memory of words that a Python worker has seen, bounded by its number of entries."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+
+#: Words in each of two generations; a word that neither has is computed anew.
+CAPACITY = 250_000
+
+
+class Memo:
+    """word -> value for the words of the batch at hand, computing only what is not remembered.
+
+    The younger generation becomes the older one when full, so frequent words stay and memory is bounded
+    by twice the capacity plus the words of one batch.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], Iterable], capacity: int = CAPACITY) -> None:
+        self.compute, self.capacity = compute, capacity
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def ready(self, words: set[str]) -> dict:
+        """A dict that has a value for each of words."""
+        if len(self.young) > self.capacity:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = []
+        for w in words.difference(young):
+            if (known := old.get(w)) is None:
+                missing.append(w)
+            else:
+                young[w] = known
+        if missing:
+            young.update(zip(missing, self.compute(missing), strict=True))
+        return young
