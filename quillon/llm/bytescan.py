@@ -97,3 +97,14 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
 def batches(column: pa.Array, most_bytes: int = SLICE_BYTES):
     """Ranges of rows of which the texts come to about most_bytes."""
     return slices(column, most_bytes)
+
+
+def prefixes(w: Words, k: int) -> np.ndarray:
+    """Hashes of the first k bytes of each word that is longer than that; 0 for the others."""
+    long = np.flatnonzero(w.end - w.start > k)
+    total = np.zeros(len(long), U)
+    for j in range(k):
+        total = total * U(_BASE) + _VALUES[w.data[w.start[long] + j]]
+    out = np.zeros(len(w.start), U)
+    out[long] = mix(total ^ U(0xA5A5A5A5A5A5A5A5)) | U(1)
+    return out

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe_codec, decontam, exact_dedup, ngram_join, sharding, token_counts, token_store, tokenizer_files
+from quillon.llm import bpe_codec, decontam, exact_dedup, language_id, ngram_join, quality, sharding, token_counts, token_store, tokenizer_files, toxicity
 from quillon.llm.runtime import table
 
 SQL: dict[str, str] = {}
@@ -25,6 +25,21 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs, language_id.train(docs.filter(~language_id.held_out(F.col("doc_id")))))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no URLs: its source stands for the host, and the part of a source in one language for a path on it."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_50k.json"))
 
