@@ -24,7 +24,7 @@ from quillon.llm.runtime import slices, texts_of, tune
 LIMIT = 2048
 SLICE_BYTES = 4 << 20
 #: White space of the tokenizer's patterns, which is narrower than Python's.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def merges_of(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> int:

@@ -170,10 +170,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     with labels of one kind only, every text gets the smoothed rate of toxic labels.
     """
     scored = score(texts_of(docs), train(docs, labels, max_labelled), ["doc_id"])
-    return scored.withColumn("toxic", F.col("p_toxic") >= THRESHOLD).withColumn("kept", ~F.col("toxic"))
+    return scored.withColumn("toxic", F.col("p_toxic") > THRESHOLD).withColumn("kept", ~F.col("toxic"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs without the rows that the chain finds toxic; all columns and all other rows stay."""
     names = [f"p_{c}" for c in CATEGORIES]
-    return score(docs.drop(*names), train(docs, labels, max_labelled), docs.drop(*names).columns).filter(F.col("p_toxic") < THRESHOLD).drop(*names)
+    return score(docs.drop(*names), train(docs, labels, max_labelled), docs.drop(*names).columns).filter(F.col("p_toxic") <= THRESHOLD).drop(*names)
