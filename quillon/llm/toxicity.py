@@ -30,7 +30,7 @@ MAX_TERMS = 256
 FOLDS = 5
 PREFIX_BYTES = 4
 #: A term must be in so many toxic texts (and in so large a share of them), at so many standard errors and times the rate of other texts.
-LEAST_TEXTS, LEAST_SHARE, LEAST_Z, LEAST_LIFT = 3, 0.004, 3.5, 5.0
+LEAST_TEXTS, LEAST_SHARE, LEAST_Z, LEAST_LIFT = 4, 0.004, 5.0, 10.0
 REPEATED_TERMS, DENSE_SHARE = 3, 0.02
 THRESHOLD = 0.5
 _BITS = 20
