@@ -31,6 +31,8 @@ SCHEMAS = {
     "form_fields": "fields array<struct<name:string,value:string,page:int>>",
     "toc": "is_toc boolean",
     "heading_rank": "headings array<int>",
+    "pick_best": "index int",
+    "whole_comparison": "items array<struct<section:string,base_page:int,compare_page:int,base_paragraph:string,compare_paragraph:string,deviation:boolean,comments:string>>",
     "verify": "verified boolean, output string",
     "terms": "terms array<string>",
     "synthesis": "output string",
@@ -117,6 +119,22 @@ class Rules:
         at = F.filter(F.transform(headings, lambda h, i: F.when(F.contains(F.lower(h), F.lower(query)), i)), lambda i: i.isNotNull())
         return {"headings": F.slice(at, 1, 3)}
 
+    def pick_best(self, query: Column, candidates: Column) -> dict[str, Column]:
+        """The first candidate whose text contains the query; null if none does."""
+        at = F.filter(F.transform(candidates, lambda c, i: F.when(F.contains(F.lower(c), F.lower(query)), i)), lambda i: i.isNotNull())
+        return {"index": F.get(at, F.lit(0))}
+
+    def whole_comparison(self, base: Column, compare: Column) -> dict[str, Column]:
+        """The paragraphs of the compared prompt that the base prompt does not have, as additions."""
+        text = lambda p: F.regexp_replace(p, r"^\[\d+\] \(p\.\d+ \| §[^)]*\) ", "")
+        known = F.transform(F.split(base, "\n\n"), text)
+        fresh = F.filter(F.split(compare, "\n\n"), lambda p: ~F.array_contains(known, text(p)))
+        item = lambda p: F.struct(
+            F.regexp_extract(p, "§([^)]*)", 1).alias("section"), F.lit(0).alias("base_page"), F.regexp_extract(p, r"p\.(\d+)", 1).cast("int").alias("compare_page"), F.lit("").alias("base_paragraph"), text(p).alias("compare_paragraph"),
+            F.lit(True).alias("deviation"), F.lit("not in the base document").alias("comments"),
+        )
+        return {"items": F.transform(fresh, item)}
+
     def verify(self, query: Column, text: Column) -> dict[str, Column]:
         return {"verified": F.contains(F.lower(text), F.lower(query)), "output": text}
 

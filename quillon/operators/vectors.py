@@ -21,6 +21,8 @@ from quillon.functions import text as T
 
 #: Numbers in a block of query vectors that is broadcast: 64 MB.
 QUERY_NUMBERS = 8_000_000
+#: Candidates that a decision sees, and how much of each.
+SHOWN, SHOWN_CHARS = 8, 300
 
 
 def embed_with(function: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
@@ -175,6 +177,16 @@ def pick_anchor(candidates: DataFrame, by: list[str], position: str) -> DataFram
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("anchor_score"), position))).filter("_n = 1").drop("_n")
 
 
+def pick_best(candidates: DataFrame, query: str, decider, most: int = SHOWN) -> DataFrame:
+    """For each document the candidate (rank, heading, content) that a decision picks of the best few, shown by 300 characters on one line; the first if it fails or picks none."""
+    shown = F.concat_ws(" ", "heading", F.regexp_replace(F.substring("content", 1, SHOWN_CHARS), "\n", " "))
+    few = candidates.filter(F.col("rank") <= most).withColumn("_shown", shown)
+    listed = few.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_shown"))), lambda x: x["_shown"]).alias("_shown"), F.array_sort(F.collect_list("rank")).alias("_ranks"))
+    told = decider.decide(listed, "pick_best", {"query": F.lit(query), "candidates": F.col("_shown")}, "d")
+    picked = told.select("doc_id", F.coalesce(F.when(F.col("d.index") >= 0, F.get("_ranks", F.col("d.index"))), F.get("_ranks", F.lit(0))).alias("rank"))
+    return few.drop("_shown").join(picked, ["doc_id", "rank"], "left_semi")
+
+
 def unique_headings(chunks: DataFrame) -> DataFrame:
     """The first chunk of each base heading that is not empty."""
     rows = chunks.withColumn("base_heading", T.base_heading("heading")).filter("base_heading <> ''")

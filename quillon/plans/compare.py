@@ -129,3 +129,18 @@ def provider(base_url: str, asked: str = "auto") -> str:
     if asked != "auto":
         return asked
     return "ollama" if "localhost" in base_url or "127.0.0.1" in base_url else "openai"
+
+
+def compare_whole(base: DataFrame, compared: DataFrame, decider: Decider, limit: int = CONTEXT_LIMIT) -> DataFrame:
+    """Items from one decision over two whole documents (doc_id, seq, page, section, text); pairs are those of equal doc_id.
+
+    A pair that goes over the share of the context that is safe has no items but the reason in problem, and so has a failed decision.
+    """
+    a, b = (whole_prompt(x).select("doc_id", F.col("prompt").alias(n), F.col("tokens").alias(f"{n}_tokens")) for x, n in ((base, "base"), (compared, "compare")))
+    pairs = a.join(b, "doc_id").withColumn("tokens", F.col("base_tokens") + F.col("compare_tokens"))
+    fits = F.col("tokens") <= int(limit * CONTEXT_SHARE)
+    asked = decider.decide(pairs.filter(fits), "whole_comparison", {"base": F.col("base"), "compare": F.col("compare")}, "d")
+    failed = asked.filter("d.items is null").select("doc_id", F.lit("the decision failed").alias("problem"))
+    long = pairs.filter(~fits).select("doc_id", F.format_string("the prompt has some %d tokens", "tokens").alias("problem"))
+    told = asked.select("doc_id", F.posexplode("d.items").alias("item_no", "i")).select("doc_id", (F.col("item_no") + 1).alias("item_no"), "i.*")
+    return normalised_items(told).unionByName(failed.unionByName(long), allowMissingColumns=True)

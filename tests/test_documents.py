@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import chunks as C
 from quillon.operators import collate, gather, split, strikes, vectors
-from quillon.operators.decide import SCHEMAS, Live, Recorded, Rules, input_hash
+from quillon.operators.decide import SCHEMAS, Live, Recorded, Rules, _parts, input_hash
 from quillon.plans import compare, extract, form_check, report, self_rag
 from quillon.sources import blocks as B
 from quillon.sources import files
@@ -233,6 +233,10 @@ def test_docx_and_json(spark, tmp_path):
     assert got.columns[0] == "doc_id"
 
 
+def _struct(kind):
+    return ", ".join(x.replace(" ", ":", 1) for x in _parts(SCHEMAS[kind]))
+
+
 class Scripted(Rules):
     """Answers given beforehand; None is a failure."""
 
@@ -242,8 +246,8 @@ class Scripted(Rules):
     def decide(self, rows, kind, inputs, out):
         if kind not in self.answers:
             return super().decide(rows, kind, inputs, out)
-        answer, schema = self.answers[kind], ", ".join(x.replace(" ", ":", 1) for x in SCHEMAS[kind].split(", "))
-        return rows.withColumn(out, F.lit(None).cast(f"struct<{schema}>") if answer is None else F.struct(*(F.lit(v).alias(k) for k, v in answer.items())).cast(f"struct<{schema}>"))
+        answer = self.answers[kind]
+        return rows.withColumn(out, F.lit(None).cast(f"struct<{_struct(kind)}>") if answer is None else F.struct(*(F.lit(v).alias(k) for k, v in answer.items())).cast(f"struct<{_struct(kind)}>"))
 
 
 def pages(spark):
@@ -281,6 +285,21 @@ def test_comparison_without_base(spark):
     assert compare.item_problems(compare.compare_pages(item, base, Rules())).count() == 0
 
 
+def test_whole_comparison(spark):
+    rows = "doc_id int, seq int, page int, section string, text string"
+    base = spark.createDataFrame([(0, 0, 1, "A", "same"), (1, 0, 1, "A", "x" * 500)], rows)
+    other = spark.createDataFrame([(0, 0, 1, "A", "same"), (0, 1, 2, "B", "new"), (1, 0, 1, "A", "y")], rows)
+    got = {(r.doc_id, r.item_no): r for r in compare.compare_whole(base, other, Rules(), 120).collect()}
+    assert got[0, 1].compare_paragraph == "new" and got[0, 1].section == "B" and got[0, 1].compare_page == 2
+    assert "tokens" in got[1, None].problem and len(got) == 2
+    assert compare.compare_whole(base, other, Scripted(whole_comparison=None)).filter("problem = 'the decision failed'").count() == 2
+
+
+def test_pick_best(spark):
+    rows = spark.createDataFrame([(0, 1, "A", "x"), (0, 2, "B", "fees"), (1, 1, "C", "x"), (1, 2, "D", "y")], "doc_id int, rank int, heading string, content string")
+    assert sorted(r.heading for r in vectors.pick_best(rows, "Fees", Rules()).collect()) == ["B", "C"]
+
+
 def test_reports(spark):
     items = compare.compare_pages(*pages(spark), Rules())
     text = report.comparison_report(items, "a.pdf", "b.docx").first().markdown
