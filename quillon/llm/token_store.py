@@ -12,10 +12,11 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,8 @@ from quillon.llm.memo import Memo
 from quillon.llm.runtime import shared_folder, slices, texts_of, tune
 
 BLOCK_IDS = 16384
-SEGMENT_IDS = 1 << 19
+#: Some 200 KB a segment once packed, so a batch of them stays small.
+SEGMENT_IDS = 1 << 17
 END_ID = 2
 SLICE_BYTES = 4 << 20
 SEGMENT = "part int, segment int, part_start long, n_ids long, doc_ids array<long>, lengths array<long>, planes string, index binary, payload binary"
@@ -74,11 +76,41 @@ def unpack(index: bytes, payload: bytes, kind: str = "byte") -> np.ndarray:
 
 
 class WordEncoder:
-    """ids of texts as packed 32-bit numbers, for tokenizers that drop white space: words between spaces are encoded once."""
+    """ids of texts as packed 32-bit numbers, for tokenizers that drop white space and split words from signs.
+
+    Spaces and line ends always part tokens, so what stands between them is encoded once. A plain word with signs after it is
+    two pre-tokens; plain words that are new are encoded together, as one text, and told apart by pre-token.
+    """
+
+    SIMPLE = regex.compile(r"(\p{L}+)([!-&(-/:;=-@\[-`{-~]*)")
+    TOGETHER = 2000
 
     def __init__(self, file: str) -> None:
-        tokenizer = tokenizer_files.load(file)
-        self.memo = Memo(lambda words: (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)))
+        self.tokenizer = tokenizer_files.load(file)
+        self.memo, self.parts = Memo(self._chunks, 150_000), Memo(self._parts)
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(parts), self.TOGETHER):
+            some = parts[k : k + self.TOGETHER]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            owner = np.array(e.word_ids)
+            if owner[-1] + 1 != len(some):
+                out += self._one_by_one(some)
+                continue
+            data, at = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
+            out += [data[a:b] for a, b in pairwise(at)]
+        return out
+
+    def _chunks(self, words: list[str]) -> list[bytes]:
+        split = [self.SIMPLE.fullmatch(w) for w in words]
+        simple = [(m[1].lower() if m[1].isascii() else m[1], m[2]) if m else None for m in split]
+        known = self.parts.ready({p for pair in simple if pair for p in pair if p})
+        other = iter(self._one_by_one([w for w, pair in zip(words, simple, strict=True) if not pair]))
+        return [(known[pair[0]] + known[pair[1]] if pair[1] else known[pair[0]]) if pair else next(other) for pair in simple]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -130,7 +162,7 @@ def write_ids(docs: DataFrame, file: str, path: str, end_id: int = END_ID, plane
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files; ids is packed little-endian unsigned 32-bit."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    tune(spark)
     segments = spark.read.parquet(path)
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # A row for each partition of the writer.
