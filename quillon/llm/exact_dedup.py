@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from quillon.llm.runtime import durable, texts_of
 
 BLOCK_BYTES = 4096
+#: Rows to drop up to which their table is broadcast (some 120 bytes each).
+BROADCAST_ROWS = 200_000
 #: The second of a pair when a document has an odd number of names.
 NONE = -(2**63)
 
@@ -95,7 +97,8 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_hash: Ca
     An empty table gives an empty result. Columns other than doc_id and text are ignored.
     """
     rows = durable(identify(docs, block_bytes, block_hash))
-    groups = rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Durable, so that both sides of the join are plain exchanges and a hot group's rows can be split.
+    groups = durable(rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     return (
         rows.join(groups, ["level", "name"])
         .select("doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), F.col("sha").alias("text_sha256"))
@@ -108,7 +111,15 @@ def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     Of repeated rows with the same id and text one stays.
     """
-    keep = exact_groups(docs, block_bytes).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    found = durable(exact_groups(docs, block_bytes).select("doc_id", "kept", F.col("text_sha256").alias("_sha")))
+    gone = found.groupBy(F.col("doc_id").alias("_id"), "_sha").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    gone = durable(gone.filter("not kept or copies > 1"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (sha == F.col("_sha")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    kept = docs.join(gone, here, "left_anti")
+    repeated = gone.filter("kept")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated, here, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
