@@ -1,7 +1,8 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
 A document's set holds the hashes of its distinct word shingles. Equal sets are one class, so that copies are joined
-once. Two sets of sizes a <= b with a Jaccard index of at least t have b <= a / t and differ in at most
+once. A set takes part only if num / den of its shingles occur in other documents at all, which is counted first by dealing
+shingles out by ranges of their hashes: passages that many documents share do not bring documents together. Two sets of sizes a <= b with a Jaccard index of at least t have b <= a / t and differ in at most
 D = (1 - t) / (1 + t) * (a + b) shingles. Sizes form bands of ratio t; a tile covers a band and the next one, so every
 pair that can link shares a tile, in which D is bounded. In each of its two tiles a set deals its shingles into
 D + 1 + q parts by hash. A linked pair agrees in at least q + 1 parts, so some part's content is the same on both sides; a
@@ -22,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +44,8 @@ COUNTED_DOCS, COUNTED_SHINGLES = 2048, 4_000_000
 #: Members of clusters up to which the table that picks their documents is broadcast (some 60 bytes each).
 BROADCAST_MEMBERS = 300_000
 MOST_BITS = 1 << 16
+#: Documents and shingles that are counted together, and shingles that one task compares at a time.
+CHUNK_DOCS, CHUNK_SHINGLES, RANGE_SHINGLES, LEAST_RANGES = 2048, 4_000_000, 4_000_000, 32
 
 
 class Rule(NamedTuple):
@@ -133,6 +137,106 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, high long, low long, frequent array<struct<s:long,c:long>>")
 
 
+def _chunks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
+    """The shingles of some documents at a time, dealt by hash ranges: the low 32 bits of each and which document has how many.
+
+    A row with the sets' names and sizes comes with each chunk, under a negative range.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        row = lambda chunk, r, docs, counts, tokens, keys: (chunk, r, docs.tobytes(), counts.tobytes(), tokens.tobytes(), keys.tobytes())
+
+        def done() -> pa.RecordBatch:
+            chunk, none = task << 32 | number, np.zeros(0, np.uint32)
+            keys = np.concatenate([np.stack([s.high, s.low, np.diff(s.at).astype(U)], 1) for s in held])
+            tokens, n = np.concatenate([s.shingles for s in held]), keys[:, 2].astype(np.int64)
+            which = ((tokens >> U(32)) % U(ranges)).astype(np.int64)
+            order = np.argsort(which, kind="stable")
+            low, owner = (tokens[order] & U(0xFFFFFFFF)).astype(np.uint32), np.repeat(np.arange(len(n), dtype=np.uint32), n)[order]
+            bounds, rows = np.searchsorted(which[order], np.arange(ranges + 1)), [row(chunk, -1 - chunk % ranges, none, none, none, keys)]
+            for r in range(ranges):
+                own = owner[bounds[r] : bounds[r + 1]]
+                if len(own):
+                    first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+                    rows.append(row(chunk, r, own[first], np.diff(np.append(first, len(own))).astype(np.uint32), low[bounds[r] : bounds[r + 1]], none))
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "r", "docs", "counts", "tokens", "keys"])
+
+        docs_held = 0
+        for batch in parts:
+            for a, b in batches(batch.column("text")):
+                s = sets_of(batch.column("text").slice(a, b - a), words)
+                if held and (docs_held + b - a > CHUNK_DOCS or size + len(s.shingles) > CHUNK_SHINGLES):
+                    yield done()
+                    number, held, size, docs_held = number + 1, [], 0, 0
+                held.append(s)
+                size, docs_held = size + len(s.shingles), docs_held + b - a
+        if held:
+            yield done()
+
+    return docs.mapInArrow(run, "chunk long, r int, docs binary, counts binary, tokens binary, keys binary")
+
+
+def promising(docs: DataFrame, rule: Rule, total: int) -> DataFrame:
+    """high, low of the sets that share so many shingles with other documents, all taken together, that a link is possible at all.
+
+    A set that links with any other shares num / den of its own shingles with it. Shingles are compared by parts of their
+    hashes, which can only make sets seem to share more. total: shingles of all documents.
+    """
+    ranges = max(LEAST_RANGES, -(-total // RANGE_SHINGLES))
+
+    def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            tokens = [np.frombuffer(h["tokens"], np.uint32) for h in held]
+            ordered = np.sort(np.concatenate(tokens))
+            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+            counts = []
+            for h, t in zip(held, tokens, strict=True):
+                found = twice[np.minimum(np.searchsorted(twice, t), len(twice) - 1)] == t if len(twice) else np.zeros(len(t), bool)
+                begins = np.concatenate([[0], np.cumsum(np.frombuffer(h["counts"], np.uint32))[:-1]]).astype(np.int64)
+                counts.append(np.add.reduceat(found.astype(np.uint32), begins, dtype=np.uint32).tobytes())
+            return pa.record_batch([pa.array([h["chunk"] for h in held]), pa.array([h["r"] for h in held], pa.int32()), pa.array([h["docs"] for h in held], pa.binary()), pa.array(counts, pa.binary()), pa.array([b""] * len(held), pa.binary())], ["chunk", "r", "docs", "counts", "keys"])
+
+        for batch in parts:
+            for h in batch.to_pylist():
+                if held and h["r"] != now:
+                    yield done()
+                    held = []
+                now = h["r"]
+                if now >= 0:
+                    held.append(h)
+                else:
+                    yield pa.record_batch([pa.array([h["chunk"]]), pa.array([now], pa.int32()), *(pa.array([h[k]], pa.binary()) for k in ("docs", "counts", "keys"))], ["chunk", "r", "docs", "counts", "keys"])
+        if held:
+            yield done()
+
+    def judged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, total_shared = None, None
+
+        def done() -> pa.RecordBatch:
+            good = (keys[:, 2] > 0) & (total_shared * U(rule.den) >= keys[:, 2] * U(rule.num))
+            return pa.record_batch([pa.array(keys[good, k].view(np.int64)) for k in (0, 1)], ["high", "low"])
+
+        for batch in parts:
+            for h in batch.to_pylist():
+                if h["r"] < 0:
+                    if keys is not None:
+                        yield done()
+                    keys = np.frombuffer(h["keys"], U).reshape(-1, 3)
+                    total_shared = np.zeros(len(keys), U)
+                else:
+                    total_shared[np.frombuffer(h["docs"], np.uint32)] += np.frombuffer(h["counts"], np.uint32)
+        if keys is not None:
+            yield done()
+
+    dealt = _chunks(docs, rule.words, ranges).repartition("r").sortWithinPartitions("r")
+    back = dealt.mapInArrow(shared, "chunk long, r int, docs binary, counts binary, keys binary")
+    return back.repartition("chunk").sortWithinPartitions("chunk", "r").mapInArrow(judged, "high long, low long").distinct()
+
+
 def parts_of(s: Sets, tile: np.ndarray, most: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set, hash) of every part that a set shows. tile: -1 or 0 for the tile that begins with the band before a set's, or with its own."""
     sizes = np.diff(s.at)
@@ -281,7 +385,7 @@ def near_groups(docs: DataFrame, rule: Rule = Rule(3, 90, 100), block_shingles:
     described = durable(_describe(rows, rule.words))
     classes = described.filter("n > 0").groupBy("high", "low", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("rep", F.coalesce("least", F.lit(NO_ID))))
-    largest, count = classes.agg(F.max("n"), F.count(F.lit(1))).first()
+    largest, count, total = classes.agg(F.max("n"), F.count(F.lit(1)), F.sum(F.col("n") * F.col("copies"))).first()
     known = described.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "high", "low")
     if not count:
         return known.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -289,10 +393,14 @@ def near_groups(docs: DataFrame, rule: Rule = Rule(3, 90, 100), block_shingles:
     often = often.filter(F.col("c") * 1000 >= count * FREQUENT_PER_MILLE).orderBy(F.desc("c"), "s").limit(MOST_FREQUENT).select("s")
     frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(U))
     by_part = Window.partitionBy("part").orderBy("high")
-    shown = _shown(rows, rule, largest, frequent).withColumn("first", F.first("high").over(by_part))
+    chosen = durable(classes.join(promising(rows, rule, total), ["high", "low"]))
+    by_id = rows.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"))
+    few = chosen.count() <= BROADCAST_MEMBERS
+    ids = chosen.select("rep").distinct()
+    shown = _shown(by_id.join(F.broadcast(ids) if few else ids, "rep", "left_semi"), rule, largest, frequent).withColumn("first", F.first("high").over(by_part))
     clusters = components(shown.filter("first <> high").select(F.col("first").alias("a"), F.col("high").alias("b")))
     before = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    members = classes.join(clusters.select(F.col("node").alias("high"), F.col("component").alias("cluster")), "high")
+    members = chosen.join(clusters.select(F.col("node").alias("high"), F.col("component").alias("cluster")), "high")
     members = durable(members.withColumn("block", F.floor(before / block_shingles)).select("cluster", "block", "cid", "rep", "high", "low", "n"))
     blocks = members.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
     x, y = blocks.alias("x"), blocks.alias("y")
@@ -303,7 +411,7 @@ def near_groups(docs: DataFrame, rule: Rule = Rule(3, 90, 100), block_shingles:
     wanted = members.join(lists, ["cluster", "block"]).select("rep", "cid", "high", "low", "block", "tiles")
     if members.count() <= BROADCAST_MEMBERS:
         wanted = F.broadcast(wanted)
-    fetched = rows.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("rep")).join(wanted, "rep").drop("rep")
+    fetched = by_id.join(wanted, "rep").drop("rep")
     laid = _tile_rows(fetched, rule.words).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "n", "cid")
     linked = components(_links(laid, rule))
     linked = linked.select(F.col("node").alias("cid"), "component")
