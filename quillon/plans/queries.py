@@ -254,6 +254,42 @@ array_to_string(list_sort(list_distinct(flatten(list(pages)))), ',') AS pages, m
 WHERE CASE WHEN a_number IS NOT NULL THEN chunk_id > coalesce(lo, -1) AND (hi IS NULL OR chunk_id < hi) ELSE base = a_base END GROUP BY doc_id, anchor_id"""
 
 
+# The five above search from some anchors only, as does their SQL. The five below search from every chunk of every document.
+
+
+def _every(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", F.col("chunk_id").alias("anchor_id"))
+
+
+def gather_section_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    return _gathered(gather.gather_full_section(chunks, _every(chunks)))
+
+
+def gather_section_v1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    return _gathered(gather.gather_full_section(chunks, _every(chunks), version=1))
+
+
+def walk_from_anchor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    return _gathered(gather.walk_from_anchor(chunks, _every(chunks)))
+
+
+def search_section_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = C.with_parent_heading(_chunks(spark, sf_dir))
+    return _gathered(gather.search_section(chunks, _every(chunks)))
+
+
+def merged_sections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    merged = gather.merge_chunks(gather.gather_full_section(chunks, _every(chunks)))
+    return _pages_text(merged, "pages").select("doc_id", F.col("anchor_id").cast("long").alias("anchor_id"), "heading", "content", "pages", F.col("chunk_id").cast("long").alias("chunk_id"))
+
+
+SQL |= {f"{k}_all": SQL[k].replace(" WHERE chunk_id % 7 = 3", "") for k in ("gather_section", "gather_section_v1", "walk_from_anchor", "search_section", "merged_sections")}
+
+
 def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _numbered(_lines(spark, sf_dir))
     decided = blocks.filter("(doc_id % 2 = 0 and page <= 3) or (doc_id % 3 = 0 and page in (1, 9))").select("doc_id", "page").distinct()
