@@ -21,6 +21,8 @@ from quillon.functions import text as T
 
 #: Numbers in a block of query vectors that is broadcast: 64 MB.
 QUERY_NUMBERS = 8_000_000
+#: Scores that a task holds at a time: 16 MB.
+SCORES = 2_000_000
 #: Candidates that a decision sees, and how much of each.
 SHOWN, SHOWN_CHARS = 8, 300
 
@@ -81,6 +83,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _largest(score: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n largest numbers of each row, the first on ties."""
+    if n > 2:
+        return np.argsort(-score, axis=1, kind="stable")[:, :n]
+    first = score.argmax(1)[:, None]
+    if n == 1 or score.shape[1] == 1:
+        return first
+    rest = score.copy()
+    np.put_along_axis(rest, first, -np.inf, 1)
+    second = rest.argmax(1)[:, None]
+    return np.hstack([first, np.where(second == first, (first + 1) % score.shape[1], second)])
+
+
 def top_k(store: DataFrame, queries: DataFrame, k: int, key: str = "key", query: str = "query_id", vector: str = "vector", without_self: bool = False, digits: int = 6) -> DataFrame:
     """query, key, score, rank: the k rows of the store with the largest cosines for each query.
 
@@ -106,15 +121,17 @@ def top_k(store: DataFrame, queries: DataFrame, k: int, key: str = "key", query:
                 own_rows = _matrix(part.column("vector"))
                 if not len(own_rows) or own_rows.shape[1] != matrix.shape[1]:
                     continue
-                score = np.round(matrix @ own_rows.T, digits)
                 keys = part.column("key")
                 order = np.argsort(np.asarray(keys.to_pylist(), object if kind == "string" else None), kind="stable")
-                score = np.where(np.isnan(score), -np.inf, score)[:, order]
-                best = np.argsort(-score, axis=1, kind="stable")[:, : k + bool(without_self)]
-                q = np.repeat(np.arange(len(ids)), best.shape[1])
-                picked = score[q, best.ravel()]
-                real = picked > -np.inf
-                yield pa.record_batch([ids.take(pa.array(q[real])), keys.take(pa.array(order[best.ravel()][real])), pa.array(picked[real] + 0.0)], [query, "key", "score"])
+                own_rows, step = own_rows[order].T, max(1, SCORES // len(own_rows))
+                for begin in range(0, len(ids), step):
+                    score = np.round(matrix[begin : begin + step] @ own_rows, digits)
+                    score[np.isnan(score)] = -np.inf
+                    best = _largest(score, k + bool(without_self))
+                    q = np.repeat(np.arange(len(score)), best.shape[1])
+                    picked = score[q, best.ravel()]
+                    real = picked > -np.inf
+                    yield pa.record_batch([ids.take(pa.array(begin + q[real])), keys.take(pa.array(order[best.ravel()][real])), pa.array(picked[real] + 0.0)], [query, "key", "score"])
 
         scored = store.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInArrow(run, f"`{query}` {own}, key {kind}, score double")
         found.append(scored)

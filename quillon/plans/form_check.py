@@ -11,16 +11,19 @@ from quillon.operators.vectors import top_k
 THRESHOLD, SECTION_CHARS = 0.45, 2000
 
 
-def route(fields: DataFrame, store: DataFrame) -> DataFrame:
-    """fields (seq, name, value, vector) with section_key, section_heading and score of the nearest heading; nulls without any section."""
-    hits = top_k(store, fields.select("seq", "vector"), 1, key="key", query="seq").select("seq", "key", "score")
+def route(fields: DataFrame, store: DataFrame, without_self: bool = False) -> DataFrame:
+    """fields (seq, name, value, vector) with section_key, section_heading and score of the nearest heading; nulls without any section.
+
+    without_self: a section whose key is the field's seq is not looked at.
+    """
+    hits = top_k(store, fields.select("seq", "vector"), 1, key="key", query="seq", without_self=without_self).select("seq", "key", "score")
     heads = hits.join(store.select("key", "heading"), "key").select("seq", F.col("key").alias("section_key"), F.col("heading").alias("section_heading"), "score")
     return fields.join(heads, "seq", "left")
 
 
-def check_fields(fields: DataFrame, store: DataFrame, sections: DataFrame, decider: Decider, threshold: float = THRESHOLD) -> DataFrame:
+def check_fields(fields: DataFrame, store: DataFrame, sections: DataFrame, decider: Decider, threshold: float = THRESHOLD, without_self: bool = False) -> DataFrame:
     """seq, name, value, section_key, section_heading, match, reason. match is null where no section is near enough or the decision failed."""
-    routed = route(fields, store)
+    routed = route(fields, store, without_self)
     near = F.coalesce(F.col("score") >= threshold, F.lit(False))
     far = F.format_string("No closely matching section found (best match: '%s', similarity=%.2f).", "section_heading", "score")
     reason = F.when(F.col("score").isNull(), "No sections found in the legal document.").otherwise(far)

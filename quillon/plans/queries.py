@@ -444,6 +444,19 @@ row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FR
 SELECT seq, name, section_key::VARCHAR AS section_key, CASE WHEN score < 0.45 THEN 'Unmatched' WHEN contains('label ' || text_label, value::VARCHAR) THEN 'Match' ELSE 'Deviation' END AS result FROM h WHERE r = 1"""
 
 
+def form_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """form_route takes a part of the rows as fields and sections, as does its SQL; here every row is a field and a section, but not its own."""
+    rows = _embeddings(spark, sf_dir)
+    heads = rows.withColumn("heading", F.concat(F.lit("Heading "), F.col("key").cast("string")))
+    fields = rows.select(F.col("key").alias("seq"), F.concat(F.lit("f"), F.col("key").cast("string")).alias("name"), (F.col("label").cast("string")).alias("value"), "vector")
+    texts = rows.select("key", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"))
+    out = form_plan.check_fields(fields, heads, texts, Rules(), without_self=True)
+    return out.select("seq", "name", F.col("section_key").cast("string").alias("section_key"), T.match_label("match").alias("result"))
+
+
+SQL["form_route_all"] = SQL["form_route"].replace("q.vec_id % 10 = 1 AND e.vec_id % 10 = 0", "q.vec_id <> e.vec_id")
+
+
 def compare_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"), F.lit(1).alias("page"))
     rows = _embeddings(spark, sf_dir).join(texts, "key").withColumn("page", (F.col("key") % 50 + 1).cast("int"))
