@@ -10,10 +10,11 @@ set that has at most q weak parts (almost no shingle but frequent ones) need not
 the same part in the same tile are candidates; clusters of candidates are cut, in order of size, into blocks, and
 pairs of blocks whose sizes can match are the tiles that are worked on, each by one task.
 
-In a tile every pair of sets that may still add something gets an upper bound of its overlap from the bit counts of two
-bitmaps (a bit in one bitmap and not in the other stands for a shingle that is not shared); those that the bound lets
-through are intersected exactly. A pair whose sets are already connected in the tile is left out, as it cannot change
-the components. What is emitted are the links of a spanning forest, fewer than there are sets.
+In a tile every pair of sets gets an upper bound of its overlap from the bit counts of two bitmaps (a bit in one bitmap and
+not in the other stands for a shingle that is not shared); those that the bound lets through are intersected exactly. What is
+emitted are the links of a spanning forest, fewer than there are sets, and each set's number of links, in which a linked set
+counts as often as it has copies. A pair of sets shares one tile only. Where links are not counted, a pair whose sets are
+already connected in the tile is left out, as it cannot change the components.
 """
 
 from __future__ import annotations
@@ -290,8 +291,11 @@ def _shown(docs: DataFrame, rule: Rule, largest: int, frequent: np.ndarray) -> D
     return docs.mapInArrow(run, "part long, high long")
 
 
-def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """Links of a spanning forest of a tile's sets, which come in order of size. Sets are compared across two sides, or all with each other if all have one."""
+def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], rule: Rule, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links of a spanning forest of a tile's sets, which come in order of size, and each set's links to others, weighted by their copies (zeros without copies).
+
+    Sets are compared across two sides, or all with each other if all have one.
+    """
     sizes = np.array([len(x) for x in sets], np.int64)
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(7, int(2 * sizes.max()).bit_length()))
     flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
@@ -299,11 +303,14 @@ def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], rul
     grid[np.repeat(np.arange(len(sets)), sizes), (flat & U(bits - 1)).astype(np.int64)] = True
     bitmaps = np.packbits(grid, axis=1).view(U)
     del grid
+    codes = np.unique(flat, return_inverse=True)[1]
+    mark, degree = np.zeros(len(flat), bool), np.zeros(len(sets), np.int64)
     label, across, out = np.arange(len(sets)), side.min() != side.max(), []
     for i in range(len(sets) - 1):
         end = int(np.searchsorted(sizes, rule.den * sizes[i] // rule.num, "right"))
         js = np.arange(i + 1, end)
-        js = js[label[js] != label[i]]
+        if copies is None:
+            js = js[label[js] != label[i]]
         if across:
             js = js[side[js] != side[i]]
         if not len(js):
@@ -311,25 +318,31 @@ def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], rul
         need, mine, theirs = rule.need(sizes[i] + sizes[js]), bitmaps[i], bitmaps[js]
         bound = np.minimum(sizes[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), sizes[js] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
         js, need = js[bound >= need], need[bound >= need]
+        mark[codes[at[i] : at[i + 1]]] = True
         for step in range(0, len(js), 256):
             some, least = js[step : step + 256], need[step : step + 256]
-            fresh = label[some] != label[i]
-            some, least = some[fresh], least[fresh]
+            if copies is None:
+                fresh = label[some] != label[i]
+                some, least = some[fresh], least[fresh]
             if not len(some):
                 continue
-            other = np.concatenate([flat[at[j] : at[j + 1]] for j in some])
-            place = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
             begins = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            for j in some[np.add.reduceat((sets[i][place] == other).astype(np.int64), begins) >= least].tolist():
+            other = np.concatenate([codes[at[j] : at[j + 1]] for j in some])
+            linked = some[np.add.reduceat(mark[other].astype(np.int64), begins) >= least]
+            if copies is not None:
+                degree[i] += copies[linked].sum()
+                degree[linked] += copies[i]
+            for j in linked[label[linked] != label[i]].tolist():
                 if label[j] != label[i]:
                     out.append((int(ids[i]), int(ids[j])))
                     label[label == label[j]] = label[i]
-    return out
+        mark[codes[at[i] : at[i + 1]]] = False
+    return out, degree
 
 
 def _tile_rows(docs: DataFrame, words: int) -> DataFrame:
-    """docs has text, cid, high, low, tiles: a row with the set for each tile, if the row's set is the one that is meant."""
-    names = ["cluster", "i", "j", "block", "n", "cid", "shingles"]
+    """docs has text, cid, copies, high, low, tiles: a row with the set for each tile, if the row's set is the one that is meant."""
+    names = ["cluster", "i", "j", "block", "n", "cid", "copies", "shingles"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -340,15 +353,15 @@ def _tile_rows(docs: DataFrame, words: int) -> DataFrame:
                 for k, r in enumerate(part.drop_columns("text").to_pylist()):
                     if (int(s.high[k]), int(s.low[k])) == (r["high"] % 2**64, r["low"] % 2**64):
                         data = s.shingles[s.at[k] : s.at[k + 1]].tobytes()
-                        rows += [(t["cluster"], t["i"], t["j"], r["block"], len(data) // 8, r["cid"], data) for t in r["tiles"]]
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.binary()], strict=True)], names)
+                        rows += [(t["cluster"], t["i"], t["j"], r["block"], len(data) // 8, r["cid"], r["copies"], data) for t in r["tiles"]]
+                columns = list(zip(*rows, strict=True)) or [[]] * 8
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.binary()], strict=True)], names)
 
-    return docs.mapInArrow(run, "cluster long, i long, j long, block long, n long, cid long, shingles binary")
+    return docs.mapInArrow(run, "cluster long, i long, j long, block long, n long, cid long, copies long, shingles binary")
 
 
-def _links(rows: DataFrame, rule: Rule) -> DataFrame:
-    """rows come sorted by tile and then by size."""
+def _links(rows: DataFrame, rule: Rule, count: bool) -> DataFrame:
+    """a, b of links; if they are counted, also a and its number of links in a tile (n), without b. rows come sorted by tile and then by size."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held = None, []
@@ -356,25 +369,29 @@ def _links(rows: DataFrame, rule: Rule) -> DataFrame:
         def done() -> pa.RecordBatch:
             kept = {r[1]: r for r in held}  # repeated rows of one document count once
             ids, side = np.array([*kept]), np.array([r[0] for r in kept.values()])
-            found = links_in_tile(ids, side, [np.frombuffer(r[2], U) for r in kept.values()], rule) if len(kept) > 1 else []
-            return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            copies = np.array([r[3] for r in kept.values()]) if count else None
+            found, degree = links_in_tile(ids, side, [np.frombuffer(r[2], U) for r in kept.values()], rule, copies) if len(kept) > 1 else ([], np.zeros(1, np.int64))
+            rows = [(a, b, None) for a, b in found] + [(int(ids[k]), None, int(degree[k])) for k in np.flatnonzero(degree)]
+            return pa.record_batch([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], ["a", "b", "n"])
 
         for batch in parts:
-            columns = [batch.column(k).to_pylist() for k in ("cluster", "i", "j", "block", "cid", "shingles")]
-            for *now, block, cid, data in zip(*columns, strict=True):
+            columns = [batch.column(k).to_pylist() for k in ("cluster", "i", "j", "block", "cid", "shingles", "copies")]
+            for *now, block, cid, data, copies in zip(*columns, strict=True):
                 if now != tile:
                     if held:
                         yield done()
                     tile, held = now, []
-                held.append((block, cid, data))
+                held.append((block, cid, data, copies))
         if held:
             yield done()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, n long")
+
 
+def near_groups(docs: DataFrame, rule: Rule = Rule(3, 90, 100), block_shingles: int = BLOCK_SHINGLES, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row of docs (doc_id, text); component_id is the least doc_id reachable by links.
 
-def near_groups(docs: DataFrame, rule: Rule = Rule(3, 90, 100), block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); component_id is the least doc_id reachable by links.
+    n_links is how many other rows a row is linked with; without count_links the column is left out.
 
     A text without words (null and empty ones too) has an empty set and is linked with nothing. Texts of equal sets are
     linked. Rows whose id is null take part in links; a component of such rows only has a null id. An empty table gives an
@@ -388,7 +405,7 @@ def near_groups(docs: DataFrame, rule: Rule = Rule(3, 90, 100), block_shingles:
     largest, count, total = classes.agg(F.max("n"), F.count(F.lit(1)), F.sum(F.col("n") * F.col("copies"))).first()
     known = described.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "high", "low")
     if not count:
-        return known.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return known.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if count_links else []))
     often = described.filter("n = -1").select(F.explode("frequent").alias("f")).groupBy("f.s").agg(F.sum("f.c").alias("c"))
     often = often.filter(F.col("c") * 1000 >= count * FREQUENT_PER_MILLE).orderBy(F.desc("c"), "s").limit(MOST_FREQUENT).select("s")
     frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(U))
@@ -401,25 +418,31 @@ def near_groups(docs: DataFrame, rule: Rule = Rule(3, 90, 100), block_shingles:
     clusters = components(shown.filter("first <> high").select(F.col("first").alias("a"), F.col("high").alias("b")))
     before = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     members = chosen.join(clusters.select(F.col("node").alias("high"), F.col("component").alias("cluster")), "high")
-    members = durable(members.withColumn("block", F.floor(before / block_shingles)).select("cluster", "block", "cid", "rep", "high", "low", "n"))
+    members = durable(members.withColumn("block", F.floor(before / block_shingles)).select("cluster", "block", "cid", "rep", "high", "low", "n", "copies"))
     blocks = members.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
     x, y = blocks.alias("x"), blocks.alias("y")
     tiles = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & (F.col("y.least") * rule.num <= F.col("x.most") * rule.den))
     tiles = tiles.filter("x.block < y.block or x.size > 1").select("x.cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     sides = tiles.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     lists = sides.groupBy("cluster", "block").agg(F.collect_list(F.struct("cluster", "i", "j")).alias("tiles"))
-    wanted = members.join(lists, ["cluster", "block"]).select("rep", "cid", "high", "low", "block", "tiles")
+    wanted = members.join(lists, ["cluster", "block"]).select("rep", "cid", "copies", "high", "low", "block", "tiles")
     if members.count() <= BROADCAST_MEMBERS:
         wanted = F.broadcast(wanted)
     fetched = by_id.join(wanted, "rep").drop("rep")
     laid = _tile_rows(fetched, rule.words).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "n", "cid")
-    linked = components(_links(laid, rule))
+    links = durable(_links(laid, rule, count_links))
+    linked = components(links.filter("b is not null"))
     linked = linked.select(F.col("node").alias("cid"), "component")
-    of_class = classes.select("high", "low", "cid", "least").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    of_class = classes.select("high", "low", "cid", "least", "copies").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = of_class.join(least, "component").select("high", "low", F.lit(True).alias("found"), "component_id")
+    counted = links.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
+    n_links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1
+    if count_links:
+        of_class = of_class.join(counted, "cid", "left").withColumn("n_links", n_links)
+    of_class = of_class.join(least, "component").select("high", "low", "component_id", *(["n_links"] if count_links else []))
     out = known.join(of_class, ["high", "low"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    more = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count_links else []
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80, 100)) -> DataFrame:
@@ -427,6 +450,6 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80, 100)) -> DataFrame:
 
     Of repeated rows with that id one stays; rows with a null id stay only if their component has no other id.
     """
-    found = near_groups(docs, rule).filter("doc_id <> component_id or doc_id is null and component_id is not null")
+    found = near_groups(docs, rule, count_links=False).filter("doc_id <> component_id or doc_id is null and component_id is not null")
     gone = found.select(F.col("doc_id").alias("_gone")).filter("_gone is not null").distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
