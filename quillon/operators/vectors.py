@@ -143,6 +143,15 @@ def top_k(store: DataFrame, queries: DataFrame, k: int, key: str = "key", query:
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select(query, F.col("key").alias(key), "score", "rank")
 
 
+def top_k_within(store: DataFrame, queries: DataFrame, k: int, key: str = "key", by: str = "doc_id", query: str = "query_id", vector: str = "vector", digits: int = 6) -> DataFrame:
+    """query, by, key, score, rank: the k rows of each document (by) with the largest cosines for each query, as by top_k. Queries are few."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = store.select(by, key, F.col(vector).alias("_v")).crossJoin(F.broadcast(queries.select(query, F.col(vector).alias("_q")))).filter("_v is not null and _q is not null and size(_v) = size(_q)")
+    cosine = F.coalesce(F.try_divide(dot("_v", "_q"), F.sqrt(dot("_v", "_v")) * F.sqrt(dot("_q", "_q"))), F.lit(0.0))
+    rank = F.row_number().over(Window.partitionBy(query, by).orderBy(F.desc("score"), key))
+    return pairs.select(query, by, key, F.round(cosine, digits).alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def deduplicate(hits: DataFrame, key: Column | str = "key", by: str | None = None) -> DataFrame:
     """The first hit of each base key in order of rank, ranked anew (for each by)."""
     within = [by] if by else []

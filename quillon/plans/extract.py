@@ -46,7 +46,7 @@ def _keyed(chunks: DataFrame) -> DataFrame:
 def extract_section(chunks: DataFrame, query: str, embed: Callable[[Column], Column], decider: Decider, top_k: int = 8, version: int = 2) -> DataFrame:
     """For each document, the section that a query names: heading, content, pages, chunk_id, verified, output.
 
-    Candidates are the headings that the decider ranks, then those that retrieval ranks. All are gathered and verified; the first
+    Candidates are the headings that the decider ranks, then those that retrieval ranks among the document's own chunks (top_k for each query). All are gathered and verified; the first
     that is verified counts, or else the last.
     """
     spark, store = chunks.sparkSession, _keyed(vectors.build_chunk_store(chunks, embed))
@@ -55,7 +55,7 @@ def extract_section(chunks: DataFrame, query: str, embed: Callable[[Column], Col
     named = decider.decide(listed, "heading_rank", {"query": F.lit(query), "headings": F.col("headings")}, "d").select("doc_id", "ids", F.posexplode(F.slice("d.headings", 1, 3)).alias("rank", "at"))
     named = named.select("doc_id", F.get("ids", F.col("at")).alias("chunk_id"), "rank").filter("chunk_id is not null")
     queries = query_rows(spark, [t.format(query) for t in TEMPLATES], embed)
-    hits = vectors.with_heading_matches(vectors.top_k(store, queries, top_k, "chunk_key"), vectors.heading_matches(store, queries, key="chunk_key"), "chunk_key")
+    hits = vectors.with_heading_matches(vectors.top_k_within(store, queries, top_k, "chunk_key"), vectors.heading_matches(store, queries, key="chunk_key"), "chunk_key")
     best = hits.groupBy("chunk_key").agg(F.max("score").alias("score")).join(store.select("chunk_key", "doc_id", "chunk_id"), "chunk_key")
     semantic = best.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_id"))).select("doc_id", "chunk_id", "rank")
     order = vectors.candidate_list(named, semantic)
@@ -67,9 +67,9 @@ def extract_section(chunks: DataFrame, query: str, embed: Callable[[Column], Col
 
 
 def extract_definitions(chunks: DataFrame, embed: Callable[[Column], Column], top_k: int = 10) -> DataFrame:
-    """For each document, the definitions section by retrieval, the best anchor among the hits, and the walk from it. Documents without hits have no row."""
+    """For each document, the definitions section by retrieval among its own chunks (top_k for each query), the best anchor among the hits, and the walk from it."""
     store = _keyed(vectors.build_chunk_store(chunks, embed))
-    hits = vectors.top_k(store, query_rows(chunks.sparkSession, [*DEFINITION_QUERIES], embed), top_k, "chunk_key")
+    hits = vectors.top_k_within(store, query_rows(chunks.sparkSession, [*DEFINITION_QUERIES], embed), top_k, "chunk_key")
     candidates = store.join(hits.select("chunk_key").distinct(), "chunk_key", "left_semi")
     anchors = vectors.pick_anchor(candidates.withColumn("position", F.struct("start_page", "chunk_id")), ["doc_id"], "position")
     return gather.stitch_full_texts(gather.walk_from_anchor(chunks, anchors.select("doc_id", F.col("chunk_id").alias("anchor_id"))))
