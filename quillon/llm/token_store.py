@@ -9,22 +9,20 @@ that Spark can write, task retries leave no half-written files, and any segment
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm import tokenizer_files
-from quillon.llm.memo import Memo
+from quillon.llm import pieces
 from quillon.llm.runtime import shared_folder, slices, texts_of, tune
 
 BLOCK_IDS = 16384
@@ -75,50 +73,19 @@ def unpack(index: bytes, payload: bytes, kind: str = "byte") -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-class WordEncoder:
-    """ids of texts as packed 32-bit numbers, for tokenizers that drop white space and split words from signs.
-
-    Spaces and line ends always part tokens, so what stands between them is encoded once. A plain word with signs after it is
-    two pre-tokens; plain words that are new are encoded together, as one text, and told apart by pre-token.
-    """
-
-    SIMPLE = regex.compile(r"(\p{L}+)([!-&(-/:;=-@\[-`{-~]*)")
-    TOGETHER = 2000
-
-    def __init__(self, file: str) -> None:
-        self.tokenizer = tokenizer_files.load(file)
-        self.memo, self.parts = Memo(self._chunks, 150_000), Memo(self._parts)
-
-    def _one_by_one(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(parts), self.TOGETHER):
-            some = parts[k : k + self.TOGETHER]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            owner = np.array(e.word_ids)
-            if owner[-1] + 1 != len(some):
-                out += self._one_by_one(some)
-                continue
-            data, at = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
-            out += [data[a:b] for a, b in pairwise(at)]
-        return out
-
-    def _chunks(self, words: list[str]) -> list[bytes]:
-        split = [self.SIMPLE.fullmatch(w) for w in words]
-        simple = [(m[1].lower() if m[1].isascii() else m[1], m[2]) if m else None for m in split]
-        known = self.parts.ready({p for pair in simple if pair for p in pair if p})
-        other = iter(self._one_by_one([w for w, pair in zip(words, simple, strict=True) if not pair]))
-        return [(known[pair[0]] + known[pair[1]] if pair[1] else known[pair[0]]) if pair else next(other) for pair in simple]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.memo.ready(set(chain.from_iterable(split))).__getitem__
-        return [b"".join(map(known, words)) for words in split]
+@functools.cache
+def encoder(file: str) -> pieces.Encoder:
+    """For tokenizers that drop white space and split words, digits and signs."""
+    return pieces.Encoder(file, pieces.words)
 
 
-_encoders: dict[str, WordEncoder] = {}
+def ids_of(texts: pa.Array, file: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all texts, each with end_id after it, and where those of each text begin (one more at the end). Null texts are empty."""
+    codes, at = pieces.code_points(texts)
+    cuts = pieces.with_cuts(codes, at)
+    ids, begin = encoder(file)(codes, cuts)
+    begin = begin[np.searchsorted(cuts, at, "right") - 1]
+    return np.insert(ids, begin[1:], end_id).astype("<u4"), begin + np.arange(len(begin))
 
 
 def write_ids(docs: DataFrame, file: str, path: str, end_id: int = END_ID, planes: str = "byte", partitions: int | None = None) -> None:
@@ -128,27 +95,26 @@ def write_ids(docs: DataFrame, file: str, path: str, end_id: int = END_ID, plane
     """
     tune(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.setdefault(file, WordEncoder(file))
         part, segment, before = TaskContext.get().partitionId(), 0, 0
         ids, held, size = [], [], 0
 
         def row() -> pa.RecordBatch:
-            stream = np.frombuffer(b"".join(held), "<u4")
+            stream = np.concatenate(held)
             index, payload = pack(stream, planes)
-            values = [part, segment, before, len(stream), ids, [len(h) // 4 for h in held], planes, index, payload]
+            values = [part, segment, before, len(stream), ids, [*map(len, held)], planes, index, payload]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], [f.split(" ")[0] for f in SEGMENT.split(", ")])
 
         for batch in batches:
             for a, b in slices(batch.column("text"), SLICE_BYTES):
                 piece = batch.slice(a, b - a)
-                for doc_id, data in zip(piece.column("doc_id").to_pylist(), encode(piece.column("text").to_pylist()), strict=True):
+                stream, begin = ids_of(piece.column("text"), file, end_id)
+                for doc_id, first, last in zip(piece.column("doc_id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                     ids.append(doc_id)
-                    held.append(data + end)
-                    size += len(data) // 4 + 1
+                    held.append(stream[first:last])
+                    size += last - first
                     if size >= SEGMENT_IDS:
                         yield row()
                         segment, before, ids, held, size = segment + 1, before + size, [], [], 0

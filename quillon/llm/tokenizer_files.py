@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -15,9 +16,20 @@ def path(name: str) -> str:
 
 @functools.cache
 def load(file: str) -> Tokenizer:
+    """The tokenizer in file. A task has its core for itself, so the library starts no threads unless the environment asks for them."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Tokenizer.from_file(file)
 
 
+@functools.cache
+def without_rules(file: str, mark: str) -> Tokenizer:
+    """The vocabulary and merges in file, for normalised pre-tokens with a mark between them."""
+    spec = definition(file)
+    parts = [{"type": "Split", "pattern": {"String": mark}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    plain = spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": parts}}
+    return Tokenizer.from_str(json.dumps(plain))
+
+
 @functools.cache
 def definition(file: str) -> dict:
     with open(file, encoding="utf-8") as f:
