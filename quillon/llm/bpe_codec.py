@@ -12,16 +12,15 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm import tokenizer_files
-from quillon.llm.memo import Memo
+from quillon.llm import pieces, tokenizer_files
 from quillon.llm.runtime import slices, texts_of, tune
 
 LEAF_CHARS = 8192
@@ -29,10 +28,27 @@ WINDOW_TOKENS = 8
 #: Tokens at either end of a window that must be those that the side has, and bytes between them and the join. The
 #: bytes exceed the longest special string, contraction and character, so none of those reaches across them.
 AGREE_TOKENS, MARGIN_BYTES = 2, 16
-SLICE_BYTES = 4 << 20
-#: White space that may not part pre-tokens: anything but single spaces and line ends between other characters.
-UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
-PARTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
+SLICE_BYTES = 1 << 20
+
+
+class Lines(NamedTuple):
+    """One string of bytes for each id."""
+
+    data: np.ndarray
+    begin: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, strings: list[bytes]) -> Lines:
+        count = np.array([*map(len, strings)], np.int64)
+        return cls(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(count) - count, count)
+
+    def each(self, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+        """The strings of ids up to each end, joined."""
+        count = self.count[ids]
+        data = memoryview(np.ascontiguousarray(pieces.gathered(self.data, self.begin[ids], count)))
+        at = np.concatenate([[0], np.cumsum(count)])[ends].tolist()
+        return [data[a:b] for a, b in pairwise([0, *at])]
 
 
 class Codec:
@@ -44,36 +60,15 @@ class Codec:
         if MARGIN_BYTES <= max((len(s.encode()) for s in special), default=0):
             raise ValueError("a special string is longer than the margin around joins")
         self.bytes = [by_id[i].encode() if by_id.get(i, "") in special else bytes(map(chars.__getitem__, by_id.get(i, ""))) for i in range(max(by_id) + 1)]
-        self.digits = [str(i) for i in range(len(self.bytes))]
-        encode = lambda parts: (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False))
-        self.inner = Memo(lambda parts: encode([p if p[0] == "\n" else f" {p}" for p in parts]))
-        self.whole = Memo(encode, 20_000)
-
-    def leaves(self, text: str) -> list[str]:
-        if len(text) <= self.leaf:
-            return [text]
-        half = len(text) // 2
-        return self.leaves(text[:half]) + self.leaves(text[half:])
-
-    def encode_leaves(self, leaves: list[str]) -> list[np.ndarray]:
-        """A single space or line end between other characters always begins a pre-token, so parts are remembered."""
-        split, first, inner = [], set(), set()
-        for leaf in leaves:
-            if UNEVEN.search(leaf):
-                parts = PARTS.split(leaf)
-                split.append((True, parts))
-                first.update(parts)
-            else:
-                head, *parts = leaf.replace("\n", " \n").split(" ")
-                split.append((False, (head, parts)))
-                first.add(head)
-                inner.update(parts)
-        whole, known = self.whole.ready(first), self.inner.ready(inner).__getitem__
-        out = []
-        for uneven, parts in split:
-            data = b"".join(map(whole.__getitem__, parts)) if uneven else whole[parts[0]] + b"".join(map(known, parts[1]))
-            out.append(np.frombuffer(data, np.uint32))
-        return out
+        self.strings, self.decimals = Lines.of(self.bytes), Lines.of([b"%d," % i for i in range(len(self.bytes))])
+        self.encode_leaves = pieces.Encoder(file, pieces.byte_level)
+
+    def cuts(self, a: int, b: int) -> list[int]:
+        """Where the leaves of a text from a to b begin."""
+        if b - a <= self.leaf:
+            return [a]
+        half = a + (b - a) // 2
+        return self.cuts(a, half) + self.cuts(half, b)
 
     def text_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -102,14 +97,29 @@ class Codec:
             parts = joined + parts[len(parts) - len(parts) % 2 :]
         return parts[0]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.leaves(t) for t in texts]
-        done = iter(self.encode_leaves([*chain.from_iterable(cut)]))
-        return [self.concatenate([next(done) for _ in leaves]) for leaves in cut]
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """ids of each text; null texts are empty."""
+        codes, at = pieces.code_points(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        leaves = [self.cuts(a, b) for a, b in pairwise(at.tolist())]
+        ids, begin = self.encode_leaves(codes, np.array([*chain.from_iterable(leaves), len(codes)]))
+        sides, out, k = np.split(ids, begin[1:-1]), [], 0
+        for own in leaves:
+            out.append(self.concatenate(sides[k : k + len(own)]))
+            k += len(own)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return self.text_bytes(ids).decode("utf-8", "replace")
 
+    def decode_all(self, lists: list[np.ndarray]) -> list[str]:
+        ids, ends = np.concatenate([np.zeros(0, np.uint32), *lists]), np.cumsum([*map(len, lists)])
+        return [str(data, "utf-8", "replace") for data in self.strings.each(ids, ends)]
+
+    def decimal_lists(self, lists: list[np.ndarray]) -> list[memoryview]:
+        """The ids of each list, joined by commas."""
+        ids, ends = np.concatenate([np.zeros(0, np.uint32), *lists]), np.cumsum([*map(len, lists)])
+        return [data[:-1] if len(data) else data for data in self.decimals.each(ids, ends)]
+
 
 @functools.cache
 def codec(file: str, leaf_chars: int = LEAF_CHARS) -> Codec:
@@ -130,7 +140,7 @@ def encode_documents(docs: DataFrame, file: str, leaf_chars: int = LEAF_CHARS) -
         for batch in batches:
             for a, b in slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(a, b - a)
-                ids = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                ids = encoder.encode(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.record_batch([*part.columns, lists], [*keep, "ids"])
 
@@ -151,11 +161,10 @@ def digests(docs: DataFrame, file: str, leaf_chars: int = LEAF_CHARS) -> DataFra
         for batch in batches:
             for a, b in slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(a, b - a)
-                n, ids_sha, text_sha = [], [], []
-                for ids in encoder.encode(part.column("text").to_pylist()):
-                    n.append(len(ids))
-                    ids_sha.append(sha(",".join(map(encoder.digits.__getitem__, ids.tolist())).encode()))
-                    text_sha.append(sha(encoder.decode(ids).encode()))
+                ids = encoder.encode(part.column("text"))
+                ids_sha = [*map(sha, encoder.decimal_lists(ids))]
+                text_sha = [sha(text.encode()) for text in encoder.decode_all(ids)]
+                n = [*map(len, ids)]
                 yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names)
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
