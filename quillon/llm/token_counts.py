@@ -12,17 +12,17 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import tokenizer_files
-from quillon.llm.memo import Memo
+from quillon.llm import pieces, tokenizer_files
 from quillon.llm.runtime import slices, texts_of, tune
 
 LIMIT = 2048
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: White space of the tokenizer's patterns, which is narrower than Python's.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -54,8 +54,8 @@ def merges_of(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]])
 
 
 @functools.cache
-def word_counter(file: str) -> Callable[[str], int]:
-    """Counts the tokens of a string without spaces and line ends, as the tokenizer in file gives them.
+def word_counter(file: str) -> tuple[Callable[[str], int], Callable[[str], int]]:
+    """Two functions that count tokens as the tokenizer in file gives them: of a normalised pre-token, and of any string.
 
     For vocabularies that normalise (NFC, white space, lower case), split words, digits and signs, and mark word ends.
     """
@@ -68,25 +68,17 @@ def word_counter(file: str) -> Callable[[str], int]:
     final = {b: vocab[c + suffix] for c, b in tokenizer_files.byte_of_char().items()}
     special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"]))))
     words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-    memory: dict[str, int] = {}
 
     def one(word: str) -> int:
-        if (known := memory.get(word)) is not None:
-            return known
         data = word.encode()
-        count = len(data) - merges_of([*map(inner.__getitem__, data[:-1]), final[data[-1]]], ranks)
-        if len(word) < 64:
-            if len(memory) > 400_000:
-                memory.clear()
-            memory[word] = count
-        return count
+        return len(data) - merges_of([*map(inner.__getitem__, data[:-1]), final[data[-1]]], ranks)
 
     def plain(text: str) -> int:
         if text.isascii():
             text = text.lower()
         else:  # character by character: no rule for the end of a word
             text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
-        return one(text) if text.isascii() and text.isalpha() else sum(map(one, words.findall(text)))
+        return sum(map(one, words.findall(text)))
 
     def count(text: str) -> int:
         if "<|" not in text:
@@ -94,20 +86,30 @@ def word_counter(file: str) -> Callable[[str], int]:
         parts = special.split(text)
         return len(parts) - 1 + sum(map(plain, filter(None, parts)))
 
-    return count
+    return one, count
 
 
 @functools.cache
-def _memo(file: str) -> Memo:
-    count = word_counter(file)
-    return Memo(lambda words: map(count, words))
+def _memory(file: str) -> pieces.Memo:
+    one, count = word_counter(file)
 
+    def counts(p: pieces.Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        strange = p.strange[which].tolist()
+        found = [count(s) if odd else one(s) for s, odd in zip(pieces.texts(p, which), strange, strict=True)]
+        return np.array(found, np.int64), np.ones(len(which), np.int64)
 
-def count_batch(texts: list[str], file: str) -> list[int]:
-    """Tokens of each text. Spaces and line ends always part tokens, so words between them are counted once."""
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    known = _memo(file).ready(set().union(*split)).__getitem__
-    return [sum(map(known, words)) for words in split]
+    return pieces.Memo(counts, np.int64)
+
+
+def count_batch(texts: pa.Array, file: str) -> np.ndarray:
+    """Tokens of each text, null ones being empty. A pre-token that is known is not merged again."""
+    codes, at = pieces.code_points(texts)
+    cuts = pieces.with_cuts(codes, at)
+    total = np.zeros(len(cuts), np.int64)
+    for a, b in pieces.portions(cuts):
+        p = pieces.words(codes[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a], file)
+        total[a + 1 : b + 1] = np.concatenate([[0], np.cumsum(_memory(file)(p)[0])])[p.at[1:]] + total[a]
+    return np.diff(total[np.searchsorted(cuts, at, "right") - 1])
 
 
 def token_counts(docs: DataFrame, file: str, limit: int = LIMIT) -> DataFrame:
@@ -121,8 +123,8 @@ def token_counts(docs: DataFrame, file: str, limit: int = LIMIT) -> DataFrame:
         for batch in batches:
             for begin, end in slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(begin, end - begin)
-                counts = count_batch(part.column("text").to_pylist(), file)
-                yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+                counts = pa.array(count_batch(part.column("text"), file), pa.int64())
+                yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), counts], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = texts_of(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

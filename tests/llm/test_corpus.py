@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import bpe_codec, components, decontam, exact_dedup, language_id, linear, memo, ngram_join, quality, sharding, token_counts, token_store, tokenizer_files, toxicity
+from quillon.llm import bpe_codec, components, decontam, exact_dedup, language_id, linear, ngram_join, quality, sharding, token_counts, token_store, tokenizer_files, toxicity
 from quillon.llm.bytescan import NOT_SPACE, runs, scan
 
 BYTE = tokenizer_files.path("byte_bpe_50k.json")
@@ -119,13 +119,8 @@ def test_heap_merging_is_plain_merging():
 def test_counts_and_words_are_the_librarys(text):
     for t in (text, text + "<|endoftext|>" + text):
         ids = tokenizer_files.load(WORD).encode(t, add_special_tokens=False).ids
-        assert token_counts.count_batch([t], WORD) == [len(ids)]
-        assert np.frombuffer(_words(t), "<u4").tolist() == ids
-
-
-def _words(text, held=[]):  # noqa: B006
-    held or held.append(token_store.WordEncoder(WORD))
-    return held[0]([text])[0]
+        assert token_counts.count_batch(pa.array([t]), WORD).tolist() == [len(ids)]
+        assert token_store.ids_of(pa.array([t]), WORD, 2)[0].tolist() == [*ids, 2]
 
 
 @settings(max_examples=150, deadline=None)
@@ -186,14 +181,6 @@ def test_token_store(spark, tmp_path, planes):
     assert token_store.read_ids(spark, f"{path}-none").count() == 0
 
 
-def test_memo_forgets_and_recomputes():
-    m = memo.Memo(lambda words: [w.upper() for w in words], 3)
-    for k in range(20):
-        words = {f"w{k}", f"w{k + 1}", "w0"}
-        assert {w: m.ready(words)[w] for w in words} == {w: w.upper() for w in words}
-    assert len(m.young) + len(m.old) <= 2 * 3 + 6
-
-
 # Scanning and n-gram join
 
 
