@@ -76,20 +76,50 @@ def test_schedule_is_longest_first():
     assert sharding.schedule([("a", 7), ("b", 5), ("c", 4), ("d", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
 
-def test_shards_are_even_and_groups_together(spark):
+def test_sizes_are_scheduled_as_items():
+    """Counting picks of one size gives each shard as many items of each size as picking one by one."""
+    rng = random.Random(9)
+    for _ in range(200):
+        shards, items = rng.randint(1, 7), []
+        for size in rng.sample(range(1, 60), rng.randint(0, 6)):
+            items += [(f"{size}-{k:04}", size) for k in range(rng.choice([1, 2, 5, 40, 300]))]
+        placed = sharding.schedule(items, shards)
+        sizes = sorted({s: sum(x == s for _, x in items) for _, s in items}.items(), reverse=True)
+        for (size, _), given in zip(sizes, sharding.schedule_sizes(sizes, shards)):
+            assert given == [sum(placed[n] == k for n, x in items if x == size) for k in range(shards)]
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_shards_are_those_of_the_schedule(spark, monkeypatch, broadcast):
+    """Brute force over all groups, one of which holds a third of all rows, with null and repeated ids."""
+    monkeypatch.setattr(sharding, "BROADCAST_SIZES", broadcast)
+    monkeypatch.setattr(sharding, "BROADCAST_RUNS", broadcast)
     rng = random.Random(2)
-    texts = [rng.choice(["same", "", None]) if rng.random() < 0.3 else "t" * rng.randint(1, 400) + str(i) for i in range(900)]
-    out = sharding.assign(docs(spark, texts), 4, giants=64, bundles=64).collect()
-    shard, load, slot = defaultdict(set), defaultdict(int), defaultdict(list)
+    texts = [rng.choice(["same" * 9, "", None]) if rng.random() < 0.4 else "tü"[rng.randint(0, 1)] * rng.randint(1, 40) + str(i % 700) for i in range(900)] + ["x" * 70_000]
+    ids = [None if i % 97 == 5 else 7 if i % 31 == 0 else i for i in range(len(texts))]
+    out = sharding.assign(docs(spark, texts, ids).withColumn("shard", F.lit("x")).withColumn("place", F.lit(1)), 4).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    want = sorted((i is not None, i or 0, size(t), zlib.crc32((t or "").encode())) for i, t in zip(ids, texts))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32) for r in out) == want
+    groups = defaultdict(int)
+    for t in texts:
+        groups[t or ""] += size(t)
+    placed = sharding.schedule([*groups.items()], 4)
+    by_crc, loads, slot = {zlib.crc32(t.encode()): t for t in groups}, defaultdict(int), defaultdict(list)
+    shard = defaultdict(set)
     for r in out:
-        t = texts[r.doc_id] or ""
-        assert (r.size, r.text_crc32) == (len(t) + 1, zlib.crc32(t.encode()))
-        shard[t].add(r.shard)
-        load[r.shard] += r.size
+        shard[by_crc[r.text_crc32]].add(r.shard)
+        loads[r.shard] += r.size
         slot[r.shard].append((r.slot, r.doc_id))
-    assert all(len(s) == 1 for s in shard.values()) and max(load.values()) - min(load.values()) < 0.05 * sum(load.values())
+    assert all(len(s) == 1 for s in shard.values())
+    # Groups of one size may change places; nothing else may.
+    for n in set(groups.values()):
+        assert sorted(next(iter(shard[t])) for t in groups if groups[t] == n) == sorted(placed[t] for t in groups if groups[t] == n)
+    assert loads == {k: sum(groups[t] for t in groups if placed[t] == k) for k in range(4)}
     for rows in slot.values():
-        assert [s for s, _ in sorted(rows)] == [*range(len(rows))] and [d for _, d in sorted(rows)] == sorted(d for _, d in rows)
+        ordered = sorted(rows, key=lambda r: r[0])
+        assert [s for s, _ in ordered] == [*range(len(rows))]
+        assert [d for _, d in ordered] == sorted((d for _, d in rows), key=lambda d: (d is not None, d or 0))
     assert sharding.assign(docs(spark, [])).count() == 0
     assert sorted(r.slot for r in sharding.assign(docs(spark, ["a", "a"], [None, None])).collect()) == [0, 1]
 
