@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bytescan import NOT_SPACE, batches, byte_class, scan
+from quillon.llm.labels import sample
 from quillon.llm.linear import fit, predict
 from quillon.llm.runtime import bytes_and_offsets, durable, tune
-from quillon.llm.toxicity import sample
 
 MAX_LABELLED = 8000
 THRESHOLD = 0.5
