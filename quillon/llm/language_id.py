@@ -3,7 +3,8 @@
 Every letter has a random vector of +1 and -1. An n-gram's vector binds its letters' vectors, each permuted (rotated) by
 its place, by multiplying them; a text's vector bundles those of its n-grams by adding them up. A language's
 prototype bundles the unit vectors of texts in it, and a text gets the language whose prototype has the largest cosine.
-Prototypes are learned from about at most max_texts texts of each language, picked by a hash of their ids.
+Prototypes are learned from about at most max_texts texts of each language, picked by a hash of their ids and texts; there may be MAX_LANGS
+languages, so the prototypes stay small.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from quillon.llm.runtime import durable, tune
 
 DIMENSIONS = 1024
 MAX_TEXTS = 4000
+#: 4 KB each for the prototypes that every executor gets.
+MAX_LANGS = 4000
 SEED = 20240917
 GRAM = 3
 #: n-grams whose vectors are in memory at once.
@@ -42,11 +45,12 @@ def letter_vector(code: int) -> np.ndarray:
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, characters) of all n-grams of lower-case letters and word ends; rows of characters are code points."""
     low = [t.lower() for t in texts]
-    codes = np.frombuffer(("\n" + "\n".join(low)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t) + 1 for t in low])
+    # Each text has a mark of its own before it and after it, so any letter is in an n-gram.
+    codes = np.frombuffer("".join(f"\n{t}\n" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.array([len(t) + 2 for t in low], np.int64)
     owner = np.repeat(np.arange(len(low)), lengths)
     opening = np.zeros(len(codes), bool)
-    opening[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
+    opening[(np.cumsum(lengths) - lengths)] = True
     letter = _is_letter()[codes]
     keep = letter | opening
     keep[1:] |= letter[:-1]
@@ -101,14 +105,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> dict[str, np.ndarray]:
-    """A unit prototype for each lang of docs (doc_id, text, lang); nulls in any of them, and texts without letters, teach nothing."""
+    """A unit prototype for each lang of docs (doc_id, text, lang); nulls in any of them, and texts without letters, teach nothing.
+
+    Repeated texts of a language teach once. Other columns are ignored; an empty table gives no prototype.
+    """
     tune(docs.sparkSession)
-    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    shares = {r.lang: min(1.0, max_texts / r.n) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not shares:
-        return {}
-    share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("lang")]
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    usable = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    shares = usable.groupBy("lang").agg((F.lit(max_texts) / F.count(F.lit(1))).alias("share"))
+    shares = durable(shares)
+    if (n := shares.count()) > MAX_LANGS:
+        raise ValueError(f"{n} languages are more than {MAX_LANGS}")
+    # Rows that share an id are told apart by their texts, and of repeated rows one teaches.
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    picked = usable.join(F.broadcast(shares), "lang").filter(drawn).select("lang", "text").distinct()
     picked = durable(picked.repartition(TRAIN_PARTITIONS))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +130,16 @@ def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> dict[str, np.ndarray]:
                     total[lang] = total.get(lang, 0) + rows[langs == lang].sum(0, dtype=np.float64)
         yield pa.record_batch([pa.array([*total], pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "v"])
 
-    sums: dict[str, np.ndarray] = {}
-    for r in picked.mapInArrow(run, "lang string, v binary").orderBy("lang", "v").collect():
-        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.v)
+    def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One sum for each language; rows come sorted, so it is the same on every run."""
+        total: dict[str, np.ndarray] = {}
+        for batch in parts:
+            for lang, v in zip(batch.column("lang").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                total[lang] = total.get(lang, 0) + np.frombuffer(v)
+        yield pa.record_batch([pa.array([*total], pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "v"])
+
+    partial = picked.mapInArrow(run, "lang string, v binary").repartition("lang").sortWithinPartitions("lang", "v")
+    sums = {r.lang: np.frombuffer(r.v) for r in partial.mapInArrow(added, "lang string, v binary").collect()}
     return {k: _unit(v) for k, v in sorted(sums.items()) if np.abs(v).sum()}
 
 
