@@ -441,7 +441,7 @@ def test_logistic_regression():
 
 
 def slow_vector(text):
-    letters = re.sub(r"[^a-zéß]+", "\0", "\0" + text.lower())
+    letters = re.sub(r"[^a-zéß]+", "\0", "\0" + text.lower() + "\0")
     total = np.zeros(language_id.DIMENSIONS)
     for k in range(len(letters) - 2):
         g = letters[k : k + 3]
@@ -454,13 +454,33 @@ def slow_vector(text):
 
 
 def test_bundles_are_brute_force(monkeypatch):
-    texts = ["The cat, the hat", "", "  ", "é", "Straße und é", "a b"]
+    texts = ["The cat, the hat", "", "  ", "é", "Straße und é", "a b", "a", "12 x", "3", "x."]
     want = np.stack([slow_vector(t) for t in texts])
-    assert np.array_equal(language_id.vectors(texts), want)
+    assert np.array_equal(language_id.vectors(texts), want) and [bool(v.any()) for v in want] == [any(c.isalpha() for c in t) for t in texts]
     monkeypatch.setattr(language_id, "COLUMNS", 3)
     assert np.array_equal(language_id.vectors(texts), want)
 
 
+def test_prototypes_are_brute_force(spark):
+    rows = [(1, "the cat", "en"), (2, "der hut", "de"), (2, "der hut", "de"), (3, "a hat, a", "en"), (4, "x", None), (None, "no id", "en"), (5, None, "de"), (6, "12", "es"), (2, "die katze", "de")]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, share string")
+    unit = lambda v: v / np.linalg.norm(v)
+    want = {"en": unit(unit(slow_vector("the cat")) + unit(slow_vector("a hat, a"))), "de": unit(unit(slow_vector("der hut")) + unit(slow_vector("die katze")))}
+    made = language_id.train(table)
+    assert made.keys() == want.keys() and all(np.allclose(made[k], want[k], atol=1e-6) for k in want)
+    told = language_id.identify(table, made).collect()
+    assert len(told) == len(rows)
+    by_text = {t: max((float(unit(slow_vector(t)) @ want[k]), k) for k in want) for _, t, _ in rows if t and any(c.isalpha() for c in t)}
+    got = {t: next(r for r in language_id.identify(table.filter(F.col("text") == t), made).collect()) for t in by_text}
+    assert all(got[t].lang_pred == lang and abs(got[t].score - max(0, cosine)) < 1e-5 for t, (cosine, lang) in by_text.items())
+    with pytest.raises(ValueError):
+        few, language_id.MAX_LANGS = language_id.MAX_LANGS, 1
+        try:
+            language_id.train(table)
+        finally:
+            language_id.MAX_LANGS = few
+
+
 def test_languages(spark):
     rng = random.Random(10)
     make = {"en": ["the", "and", "with", "thing", "which"], "de": ["und", "schön", "nicht", "über", "straße"], "es": ["que", "los", "ción", "niño", "para"]}
