@@ -8,18 +8,32 @@ from pyspark.sql import functions as F
 from quillon.llm.runtime import durable
 
 MOST_ROUNDS = 60
+#: Edges up to which the table of all nodes' least neighbours is broadcast (some 16 bytes each). Beyond, only nodes with more
+#: than 1/SHARE of all edges are, of which there are 2 * SHARE at most; so no task gets a larger part of the edges for one node.
+BROADCAST_EDGES, SHARE = 300_000, 1000
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """edges are (a, b) with a < b. Each node sends its neighbours (the larger, or else the smaller ones) to its least neighbour."""
+def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """rows (u, v) with m of least (u, m, n), n being how many rows of u there are."""
+    if edges <= BROADCAST_EDGES:
+        return rows.join(F.broadcast(least.drop("n")), "u")
+    least = durable(least)
+    hot = F.broadcast(least.filter(F.col("n") * SHARE > edges).select("u", "m"))
+    cold = least.filter(F.col("n") * SHARE <= edges).select("u", "m")
+    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(cold, "u"))
+
+
+def _stars(pairs: DataFrame, large: bool, edges: int) -> DataFrame:
+    """pairs are edges (a, b) with a < b. Each node sends its neighbours (the larger, or else the smaller ones) to its least neighbour."""
+    n = F.count(F.lit(1)).alias("n")
     if large:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), n).select("u", F.least("u", "m").alias("m"), "n")
+        out = _with_least(both.filter("v > u"), least, edges).select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
-        down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(least, "u")
+        down = pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"), n)
+        moved = _with_least(down, least, edges)
         out = moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return out.filter("a < b").distinct()
 
@@ -35,7 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             break
-        current = durable(_stars(_stars(current, large=True), large=False))
+        # A large star has no more edges than it began with.
+        current = durable(_stars(_stars(current, True, seen[0]), False, seen[0]))
         if (now := state(current)) == seen:
             break
         seen = now

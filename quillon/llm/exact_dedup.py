@@ -18,7 +18,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.runtime import durable, texts_of
+from quillon.llm.runtime import durable, texts_of, unused
 
 BLOCK_BYTES = 4096
 #: Rows to drop up to which their table is broadcast (some 120 bytes each).
@@ -107,19 +107,27 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_hash: Ca
 
 
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the rows whose text another row with a larger doc_id has; all columns stay.
+    """docs without the rows whose text another row with a larger doc_id has; all columns stay, whatever their names.
 
-    Of repeated rows with the same id and text one stays.
+    Null texts count as empty ones. Of repeated rows with the same id and text one stays; of texts that only rows with a null id
+    have, one row.
+    """
+    the_id, the_sha, staying, copies = unused(docs, "kept_id", "kept_sha", "staying", "copies")
+    found = durable(exact_groups(docs, block_bytes).select("doc_id", "kept", "text_sha256"))
+    gone = found.groupBy(F.col("doc_id").alias(the_id), F.col("text_sha256").alias(the_sha)).agg(F.bool_or("kept").alias(staying), F.count(F.lit(1)).alias(copies))
+    return without_rows(docs, durable(gone.filter(~F.col(staying) | (F.col(copies) > 1))), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), the_id, the_sha, staying)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, key: Column, the_id: str, the_key: str, staying: str) -> DataFrame:
+    """docs without the rows that gone names by id (null-safe) and key; of those that gone marks as staying, one row stays.
+
+    gone is durable, has each id and key once, and its columns have names that docs has not.
     """
-    found = durable(exact_groups(docs, block_bytes).select("doc_id", "kept", F.col("text_sha256").alias("_sha")))
-    gone = found.groupBy(F.col("doc_id").alias("_id"), "_sha").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
-    gone = durable(gone.filter("not kept or copies > 1"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(the_id)) & (key == F.col(the_key))
     kept = docs.join(gone, here, "left_anti")
-    repeated = gone.filter("kept")
+    repeated = gone.filter(F.col(staying))
     if repeated.isEmpty():
         return kept
-    return kept.unionByName(docs.join(repeated, here, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+    return kept.unionByName(docs.join(repeated, here, "left_semi").withColumn(the_key, key).dropDuplicates(["doc_id", the_key]).drop(the_key))

@@ -20,21 +20,23 @@ already connected in the tile is left out, as it cannot change the components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm.bytescan import NOT_SPACE, U, batches, mix, runs, scan
 from quillon.llm.components import components
-from quillon.llm.runtime import NO_ID, durable, texts_of, tune
+from quillon.llm.exact_dedup import without_rows
+from quillon.llm.runtime import NO_ID, durable, texts_of, tune, unused
 
-#: Shingles in a block of a cluster; a larger set is a block of its own.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles in a block of a cluster, and sets; a larger set is a block of its own. The two bound what a task holds and how many pairs it compares.
+BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1000
 #: A part with at most so many shingles that aren't frequent is weak.
 WEAK = 1
 #: A shingle is frequent if it is in so many of 1000 documents; at most so many are told apart, the most frequent first.
@@ -45,8 +47,12 @@ COUNTED_DOCS, COUNTED_SHINGLES = 2048, 4_000_000
 #: Members of clusters up to which the table that picks their documents is broadcast (some 60 bytes each).
 BROADCAST_MEMBERS = 300_000
 MOST_BITS = 1 << 16
-#: Documents and shingles that are counted together, and shingles that one task compares at a time.
-CHUNK_DOCS, CHUNK_SHINGLES, RANGE_SHINGLES, LEAST_RANGES = 2048, 4_000_000, 4_000_000, 32
+#: Documents and shingles that are counted together, shingles that one task compares at a time, and that it gets in all.
+CHUNK_DOCS, CHUNK_SHINGLES, RANGE_SHINGLES, TASK_SHINGLES = 2048, 4_000_000, 1_000_000, 16_000_000
+#: Several ranges for each task, so that tasks get about equal shares.
+RANGES_PER_TASK = 8
+#: Candidates that a task gathers before it leaves out what it knows to belong together.
+HELD_PARTS = 1 << 20
 
 
 class Rule(NamedTuple):
@@ -98,8 +104,10 @@ def sets_of(column: pa.Array, words: int) -> Sets:
     return Sets(shingles, at, a[at[1:]] - a[at[:-1]], b[at[1:]] - b[at[:-1]])
 
 
-def _describe(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, high, low of each row; rows with n = -1 have frequent shingles of a task and their counts."""
+def _describe(docs: DataFrame, words: int, more: tuple[str, ...]) -> DataFrame:
+    """doc_id, more (long columns), n, high, low of each row; rows with n = -1 have frequent shingles of a task and their counts."""
+
+    ids = ["doc_id", *more]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -113,17 +121,17 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
             seen.clear()
             return [{"s": s, "c": c} for s, c in zip(values[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
 
-        def rows(ids: pa.Array, n: np.ndarray, high: np.ndarray, low: np.ndarray, frequent: list) -> pa.RecordBatch:
+        def rows(own: list[pa.Array], n: np.ndarray, high: np.ndarray, low: np.ndarray, frequent: list) -> pa.RecordBatch:
             kind = pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())]))
-            return pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(frequent, kind)], ["doc_id", "n", "high", "low", "frequent"])
+            return pa.record_batch([*own, pa.array(n, pa.int64()), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(frequent, kind)], [*ids, "n", "high", "low", "frequent"])
 
-        nothing = lambda n: rows(pa.array([None], pa.int64()), np.array([-1]), np.zeros(1, U), np.zeros(1, U), [n])
+        nothing = lambda n: rows([pa.nulls(1, pa.int64())] * len(ids), np.array([-1]), np.zeros(1, U), np.zeros(1, U), [n])
         size = 0
         for batch in parts:
             for a, b in batches(batch.column("text")):
                 part = batch.slice(a, b - a)
                 s = sets_of(part.column("text"), words)
-                yield rows(part.column("doc_id"), np.diff(s.at), s.high, s.low, [None] * (b - a))
+                yield rows([part.column(c) for c in ids], np.diff(s.at), s.high, s.low, [None] * (b - a))
                 for i, h in enumerate(s.high.tolist()):
                     if h not in seen:
                         seen.add(h)
@@ -135,48 +143,74 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield nothing(counted())
 
-    return docs.mapInArrow(run, "doc_id long, n long, high long, low long, frequent array<struct<s:long,c:long>>")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*ids, "n", "high", "low"]) + ", frequent array<struct<s:long,c:long>>")
+
+
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Pieces of an array that begin at these places, as binary values."""
+    ends = (np.append(at, len(data)) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def _dealt(chunk: int, ranges: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of a chunk; columns are pairs of an array and where each row's part of it begins."""
+    values = [_binary(data, at) for data, at in batched(columns, 2)]
+    return pa.record_batch([pa.array(np.full(len(ranges), chunk, np.int64)), pa.array(ranges, pa.int32()), *values], ["chunk", "r", "steps", "tokens", "keys"])
+
+
+def _steps(owner: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much each number is above the one before it in its row, in bytes: 255 stands for 255 more to come. And where each number's bytes begin."""
+    step = np.diff(owner, prepend=0)
+    step[rows] = owner[rows]
+    length = step // 255 + 1
+    ends = np.cumsum(length)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = step % 255
+    return out, ends - length
+
+
+def _owners(steps: bytes) -> np.ndarray:
+    data = np.frombuffer(steps, np.uint8)
+    return np.cumsum(data, dtype=np.int64)[data != 255]
 
 
 def _chunks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
-    """The shingles of some documents at a time, dealt by hash ranges: the low 32 bits of each and which document has how many.
+    """The shingles of some documents at a time, dealt by hash ranges: the low 32 bits of each, and how far on its document is (see _steps).
 
     A row with the sets' names and sizes comes with each chunk, under a negative range.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-        row = lambda chunk, r, docs, counts, tokens, keys: (chunk, r, docs.tobytes(), counts.tobytes(), tokens.tobytes(), keys.tobytes())
 
-        def done() -> pa.RecordBatch:
-            chunk, none = task << 32 | number, np.zeros(0, np.uint32)
+        def done() -> Iterator[pa.RecordBatch]:
+            chunk = task << 32 | number
             keys = np.concatenate([np.stack([s.high, s.low, np.diff(s.at).astype(U)], 1) for s in held])
             tokens, n = np.concatenate([s.shingles for s in held]), keys[:, 2].astype(np.int64)
             which = ((tokens >> U(32)) % U(ranges)).astype(np.int64)
             order = np.argsort(which, kind="stable")
-            low, owner = (tokens[order] & U(0xFFFFFFFF)).astype(np.uint32), np.repeat(np.arange(len(n), dtype=np.uint32), n)[order]
-            bounds, rows = np.searchsorted(which[order], np.arange(ranges + 1)), [row(chunk, -1 - chunk % ranges, none, none, none, keys)]
-            for r in range(ranges):
-                own = owner[bounds[r] : bounds[r + 1]]
-                if len(own):
-                    first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-                    rows.append(row(chunk, r, own[first], np.diff(np.append(first, len(own))).astype(np.uint32), low[bounds[r] : bounds[r + 1]], none))
-            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "r", "docs", "counts", "tokens", "keys"])
+            which, owner = which[order], np.repeat(np.arange(len(n)), n)[order]
+            # Only ranges that have shingles make rows, so there are never more rows than shingles.
+            rows = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])[: len(which)])
+            steps, ends = _steps(owner, rows)
+            low = (tokens[order] & U(0xFFFFFFFF)).astype(np.uint32)
+            yield _dealt(chunk, which[rows], steps, ends[rows] if len(rows) else rows, low, rows, np.zeros(0, U), np.zeros(len(rows), np.int64))
+            zero = np.zeros(1, np.int64)
+            yield _dealt(chunk, np.array([-1 - chunk % ranges]), np.zeros(0, np.uint8), zero, np.zeros(0, np.uint32), zero, keys.reshape(-1), zero)
 
         docs_held = 0
         for batch in parts:
             for a, b in batches(batch.column("text")):
                 s = sets_of(batch.column("text").slice(a, b - a), words)
                 if held and (docs_held + b - a > CHUNK_DOCS or size + len(s.shingles) > CHUNK_SHINGLES):
-                    yield done()
+                    yield from done()
                     number, held, size, docs_held = number + 1, [], 0, 0
                 held.append(s)
                 size, docs_held = size + len(s.shingles), docs_held + b - a
         if held:
-            yield done()
+            yield from done()
 
-    return docs.mapInArrow(run, "chunk long, r int, docs binary, counts binary, tokens binary, keys binary")
+    return docs.mapInArrow(run, "chunk long, r int, steps binary, tokens binary, keys binary")
 
 
 def promising(docs: DataFrame, rule: Rule, total: int) -> DataFrame:
@@ -185,7 +219,8 @@ def promising(docs: DataFrame, rule: Rule, total: int) -> DataFrame:
     A set that links with any other shares num / den of its own shingles with it. Shingles are compared by parts of their
     hashes, which can only make sets seem to share more. total: shingles of all documents.
     """
-    ranges = max(LEAST_RANGES, -(-total // RANGE_SHINGLES))
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SHINGLES))
+    ranges = max(RANGES_PER_TASK * partitions, -(-total // RANGE_SHINGLES))
 
     def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -194,12 +229,13 @@ def promising(docs: DataFrame, rule: Rule, total: int) -> DataFrame:
             tokens = [np.frombuffer(h["tokens"], np.uint32) for h in held]
             ordered = np.sort(np.concatenate(tokens))
             twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            counts = []
+            docs, counts = [], []
             for h, t in zip(held, tokens, strict=True):
                 found = twice[np.minimum(np.searchsorted(twice, t), len(twice) - 1)] == t if len(twice) else np.zeros(len(t), bool)
-                begins = np.concatenate([[0], np.cumsum(np.frombuffer(h["counts"], np.uint32))[:-1]]).astype(np.int64)
-                counts.append(np.add.reduceat(found.astype(np.uint32), begins, dtype=np.uint32).tobytes())
-            return pa.record_batch([pa.array([h["chunk"] for h in held]), pa.array([h["r"] for h in held], pa.int32()), pa.array([h["docs"] for h in held], pa.binary()), pa.array(counts, pa.binary()), pa.array([b""] * len(held), pa.binary())], ["chunk", "r", "docs", "counts", "keys"])
+                own, n = np.unique(_owners(h["steps"])[found], return_counts=True)
+                docs.append(own.astype(np.uint16).tobytes())
+                counts.append(n.astype(np.uint32).tobytes())
+            return back([h["chunk"] for h in held], [h["r"] for h in held], docs, counts, [b""] * len(held))
 
         for batch in parts:
             for h in batch.to_pylist():
@@ -210,10 +246,14 @@ def promising(docs: DataFrame, rule: Rule, total: int) -> DataFrame:
                 if now >= 0:
                     held.append(h)
                 else:
-                    yield pa.record_batch([pa.array([h["chunk"]]), pa.array([now], pa.int32()), *(pa.array([h[k]], pa.binary()) for k in ("docs", "counts", "keys"))], ["chunk", "r", "docs", "counts", "keys"])
+                    yield back([h["chunk"]], [now], [b""], [b""], [h["keys"]])
         if held:
             yield done()
 
+    def back(*columns: list) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["chunk", "r", "docs", "counts", "keys"])
+
     def judged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, total_shared = None, None
 
@@ -229,13 +269,13 @@ def promising(docs: DataFrame, rule: Rule, total: int) -> DataFrame:
                     keys = np.frombuffer(h["keys"], U).reshape(-1, 3)
                     total_shared = np.zeros(len(keys), U)
                 else:
-                    total_shared[np.frombuffer(h["docs"], np.uint32)] += np.frombuffer(h["counts"], np.uint32)
+                    total_shared[np.frombuffer(h["docs"], np.uint16)] += np.frombuffer(h["counts"], np.uint32)
         if keys is not None:
             yield done()
 
-    dealt = _chunks(docs, rule.words, ranges).repartition("r").sortWithinPartitions("r")
-    back = dealt.mapInArrow(shared, "chunk long, r int, docs binary, counts binary, keys binary")
-    return back.repartition("chunk").sortWithinPartitions("chunk", "r").mapInArrow(judged, "high long, low long").distinct()
+    dealt = _chunks(docs, rule.words, ranges).repartition(partitions, "r").sortWithinPartitions("r")
+    found = dealt.mapInArrow(shared, "chunk long, r int, docs binary, counts binary, keys binary")
+    return found.repartition(partitions, "chunk").sortWithinPartitions("chunk", "r").mapInArrow(judged, "high long, low long").distinct()
 
 
 def parts_of(s: Sets, tile: np.ndarray, most: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,12 +305,32 @@ def parts_of(s: Sets, tile: np.ndarray, most: np.ndarray, starts: np.ndarray, fr
     return part_owner[show], mix(total + tag)[show]
 
 
-def _shown(docs: DataFrame, rule: Rule, largest: int, frequent: np.ndarray) -> DataFrame:
+def _together(part: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    """Of the sets that show the same part the least one, with the part; and each of the others with the least one, under a key of its own.
+
+    So a part that very many sets show comes from a task once.
+    """
+    order = np.lexsort([high, part])
+    part, high = part[order], high[order]
+    new = np.concatenate([[True], part[1:] != part[:-1]])[: len(part)]
+    heads = np.flatnonzero(new)
+    least = high[np.repeat(heads, np.diff(np.append(heads, len(part))))]
+    other = np.flatnonzero(~new & (least != high))
+    keys = mix(least[other].view(U) ^ mix(high[other].view(U))).view(np.int64)
+    a = pa.concat_arrays([pa.nulls(len(heads), pa.int64()), pa.array(least[other])])
+    return pa.record_batch([pa.array(np.concatenate([part[heads], keys])), a, pa.array(np.concatenate([high[heads], high[other]]))], ["part", "a", "high"])
+
+
+def candidates(docs: DataFrame, rule: Rule, largest: int, frequent: np.ndarray) -> DataFrame:
+    """a, b: pairs of sets (by their first sum) that link all sets which show a common part, directly or by way of others."""
     starts, most = rule.tiles(largest)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        done = lambda: _together(*(np.concatenate(x) for x in zip(*held, strict=True)))
         for batch in parts:
             for a, b in batches(batch.column("text")):
                 s = sets_of(batch.column("text").slice(a, b - a), rule.words)
@@ -286,9 +346,19 @@ def _shown(docs: DataFrame, rule: Rule, largest: int, frequent: np.ndarray) -> D
                 for tile in (-1, 0):
                     owner, value = parts_of(s, np.full(b - a, tile), most, starts, shared.value)
                     mine = pick[owner]
-                    yield pa.record_batch([pa.array(value[mine].view(np.int64)), pa.array(s.high[owner[mine]].view(np.int64))], ["part", "high"])
+                    held.append((value[mine].view(np.int64), s.high[owner[mine]].view(np.int64)))
+                    size += len(held[-1][0])
+                if size > HELD_PARTS:
+                    yield done()
+                    held, size = [], 0
+        if held:
+            yield done()
 
-    return docs.mapInArrow(run, "part long, high long")
+    shown = docs.mapInArrow(run, "part long, a long, high long")
+    # A row for each part and task.
+    least = F.min("high").over(Window.partitionBy("part"))
+    pairs = shown.select(F.coalesce("a", least).alias("a"), F.col("high").alias("b"))
+    return pairs.filter("a <> b")
 
 
 def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], rule: Rule, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -388,68 +458,105 @@ def _links(rows: DataFrame, rule: Rule, count: bool) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, n long")
 
 
-def near_groups(docs: DataFrame, rule: Rule = Rule(3, 90, 100), block_shingles: int = BLOCK_SHINGLES, count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each row of docs (doc_id, text); component_id is the least doc_id reachable by links.
-
-    n_links is how many other rows a row is linked with; without count_links the column is left out.
+def _blocked(members: DataFrame, rule: Rule, largest: int, block_shingles: int) -> DataFrame:
+    """members with block and tiles, an array of (cluster, i, j) that says in which pairs of blocks a set is compared.
 
-    A text without words (null and empty ones too) has an empty set and is linked with nothing. Texts of equal sets are
-    linked. Rows whose id is null take part in links; a component of such rows only has a null id. An empty table gives an
-    empty result.
+    A cluster of at most block_shingles shingles and BLOCK_SETS sets is one block. The bands of a larger one are cut by hash into blocks of about that size, and
+    each block meets the blocks of its own band and of the next one. All of this comes from sums for each cluster and band.
     """
+    starts = F.array(*(F.lit(int(x)) for x in rule.tiles(largest)[0]))
+    members = durable(members.withColumn("band", F.size(F.filter(starts, lambda x: x <= F.col("n"))).cast("long")))
+    weight = F.greatest(F.col("n"), F.lit(block_shingles // BLOCK_SETS))
+    sums = durable(members.groupBy("cluster", "band").agg(F.sum(weight).alias("s")))
+    large = sums.groupBy("cluster").agg(F.sum("s").alias("all")).filter(F.col("all") > block_shingles).select("cluster")
+    cut = sums.join(large, "cluster").withColumn("blocks", F.ceil(F.col("s") / block_shingles))
+    # A row for each band of a cluster.
+    near = lambda by, c: F.coalesce(F.when(F.lag("band", by).over(order) == F.col("band") - by, F.lag(c, by).over(order)), F.lit(0))
+    order = Window.partitionBy("cluster").orderBy("band")
+    cut = durable(cut.select("cluster", "band", "blocks", near(1, "blocks").alias("before"), near(-1, "blocks").alias("after")))
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_MEMBERS else cut
+    block = lambda k, band: F.shiftleft(band, 32) + k
+    rows = members.join(cut, ["cluster", "band"], "left").withColumn("block", F.coalesce(block(F.pmod(F.xxhash64("cid"), "blocks"), F.col("band")), F.lit(0)))
+
+    def facing(count: str, away: int) -> Column:
+        """The tiles with the blocks of a band."""
+        other = lambda k: block(k, F.col("band") + away)
+        all_of = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(all_of, lambda k: F.struct("cluster", F.least("block", other(k)).alias("i"), F.greatest("block", other(k)).alias("j")))
+
+    whole = F.array(F.struct("cluster", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    tiles = F.concat(facing("blocks", 0), facing("before", -1), facing("after", 1))
+    return rows.withColumn("tiles", F.when(F.col("blocks").isNull(), whole).otherwise(tiles)).drop("band", "blocks", "before", "after")
+
+
+def _grouped(docs: DataFrame, rule: Rule, block_shingles: int, count_links: bool, *more: str) -> DataFrame:
+    """doc_id, more, n_shingles, component (null for an empty set), component_id and n_links (null unless counted) of each row of docs."""
     tune(docs.sparkSession)
-    rows = texts_of(docs)
-    described = durable(_describe(rows, rule.words))
+    rows = texts_of(docs, *more)
+    described = durable(_describe(rows, rule.words, more))
     classes = described.filter("n > 0").groupBy("high", "low", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("rep", F.coalesce("least", F.lit(NO_ID))))
     largest, count, total = classes.agg(F.max("n"), F.count(F.lit(1)), F.sum(F.col("n") * F.col("copies"))).first()
-    known = described.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "high", "low")
+    known = described.filter("n >= 0").select("doc_id", *more, F.col("n").alias("n_shingles"), "high", "low")
     if not count:
-        return known.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if count_links else []))
+        none = F.lit(None).cast("long")
+        return known.select("doc_id", *more, "n_shingles", none.alias("component"), none.alias("component_id"), none.alias("n_links"))
     often = described.filter("n = -1").select(F.explode("frequent").alias("f")).groupBy("f.s").agg(F.sum("f.c").alias("c"))
     often = often.filter(F.col("c") * 1000 >= count * FREQUENT_PER_MILLE).orderBy(F.desc("c"), "s").limit(MOST_FREQUENT).select("s")
     frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(U))
-    by_part = Window.partitionBy("part").orderBy("high")
-    chosen = durable(classes.join(promising(rows, rule, total), ["high", "low"]))
+    chosen = durable(classes.join(promising(rows.select("text"), rule, total), ["high", "low"]))
     by_id = rows.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"))
     few = chosen.count() <= BROADCAST_MEMBERS
     ids = chosen.select("rep").distinct()
-    shown = _shown(by_id.join(F.broadcast(ids) if few else ids, "rep", "left_semi"), rule, largest, frequent).withColumn("first", F.first("high").over(by_part))
-    clusters = components(shown.filter("first <> high").select(F.col("first").alias("a"), F.col("high").alias("b")))
-    before = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    clusters = components(candidates(by_id.join(F.broadcast(ids) if few else ids, "rep", "left_semi"), rule, largest, frequent))
     members = chosen.join(clusters.select(F.col("node").alias("high"), F.col("component").alias("cluster")), "high")
-    members = durable(members.withColumn("block", F.floor(before / block_shingles)).select("cluster", "block", "cid", "rep", "high", "low", "n", "copies"))
-    blocks = members.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    tiles = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & (F.col("y.least") * rule.num <= F.col("x.most") * rule.den))
-    tiles = tiles.filter("x.block < y.block or x.size > 1").select("x.cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    sides = tiles.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    lists = sides.groupBy("cluster", "block").agg(F.collect_list(F.struct("cluster", "i", "j")).alias("tiles"))
-    wanted = members.join(lists, ["cluster", "block"]).select("rep", "cid", "copies", "high", "low", "block", "tiles")
+    members = durable(_blocked(members.select("cluster", "cid", "rep", "high", "low", "n", "copies"), rule, largest, block_shingles))
+    wanted = members.select("rep", "cid", "copies", "high", "low", "block", "tiles")
     if members.count() <= BROADCAST_MEMBERS:
         wanted = F.broadcast(wanted)
     fetched = by_id.join(wanted, "rep").drop("rep")
     laid = _tile_rows(fetched, rule.words).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "n", "cid")
     links = durable(_links(laid, rule, count_links))
-    linked = components(links.filter("b is not null"))
-    linked = linked.select(F.col("node").alias("cid"), "component")
+    linked = components(links.filter("b is not null")).select(F.col("node").alias("cid"), "component")
     of_class = classes.select("high", "low", "cid", "least", "copies").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    counted = links.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
-    n_links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1
     if count_links:
-        of_class = of_class.join(counted, "cid", "left").withColumn("n_links", n_links)
-    of_class = of_class.join(least, "component").select("high", "low", "component_id", *(["n_links"] if count_links else []))
-    out = known.join(of_class, ["high", "low"], "left")
+        counted = links.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
+        of_class = of_class.join(counted, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
+    else:
+        of_class = of_class.withColumn("n_links", F.lit(None).cast("long"))
+    of_class = of_class.join(least, "component").select("high", "low", "component", "component_id", "n_links")
+    return known.join(of_class, ["high", "low"], "left").drop("high", "low")
+
+
+def near_groups(docs: DataFrame, rule: Rule = Rule(3, 90, 100), block_shingles: int = BLOCK_SHINGLES, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row of docs (doc_id, text); component_id is the least doc_id reachable by links.
+
+    n_links is how many other rows a row is linked with; without count_links the column is left out.
+
+    A text without words (null and empty ones too) has an empty set and is linked with nothing. Texts of equal sets are
+    linked. Rows whose id is null take part in links; a component of such rows only has a null id. An empty table gives an
+    empty result. Other columns are ignored.
+    """
+    out = _grouped(docs, rule, block_shingles, count_links)
     more = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count_links else []
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80, 100)) -> DataFrame:
-    """docs with one row of each component, the one with the least doc_id; texts without words all stay.
+    """docs with one row of each component, that with the least doc_id; texts without words all stay, and so do all columns, whatever their names.
 
-    Of repeated rows with that id one stays; rows with a null id stay only if their component has no other id.
+    Rows are told apart by id and text: of several texts with the least id of their component one stays, and one of repeated rows.
+    A row with a null id stays only if its component has no other id, and then one row does.
     """
-    found = near_groups(docs, rule, count_links=False).filter("doc_id <> component_id or doc_id is null and component_id is not null")
-    gone = found.select(F.col("doc_id").alias("_gone")).filter("_gone is not null").distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    the_id, the_key, staying, copies = unused(docs, "kept_id", "kept_key", "staying", "copies")
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    keyed = docs.select("doc_id", "text", key.alias("key"))
+    found = durable(_grouped(keyed, rule, BLOCK_SHINGLES, False, "key").filter("component is not null").select("doc_id", "key", "component"))
+    one = F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    # Durable, so that a hot component's rows can be split where they meet the row that stays.
+    kept = durable(found.groupBy("component").agg(one.alias("one"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    stays = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))
+    rows = found.join(kept, "component").select(F.col("doc_id").alias(the_id), F.col("key").alias(the_key), stays.alias(staying))
+    gone = rows.groupBy(the_id, the_key).agg(F.bool_or(staying).alias(staying), F.count(F.lit(1)).alias(copies))
+    return without_rows(docs, durable(gone.filter(~F.col(staying) | (F.col(copies) > 1))), key, the_id, the_key, staying)

@@ -72,10 +72,11 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + least(3, len(w)) - 1], ' '
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 link AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+degree AS (SELECT x, count(*) AS n_links FROM link GROUP BY x),
 reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
 least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.y, d.doc_id)) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of r ON r.x = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.y, d.doc_id)) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of r ON r.x = d.doc_id LEFT JOIN degree g ON g.x = d.doc_id
 """
 
 
@@ -99,7 +100,7 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DIST
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
-""".replace("\\\\", "\\")
+"""
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
