@@ -2,8 +2,11 @@
 
 A decider maps (kind, inputs) to a struct column of the kind's schema; null means that the model failed. There are three:
 Recorded looks decisions up by a hash of their inputs, Rules are offline stand-ins by plain string comparison (reproducible, and not
-equivalent to any model), and Live calls a function for batches of inputs. Rows that a pipeline has already decided never
-reach a decider: filters come before it.
+equivalent to any model), and Live calls a function for batches of inputs. Rows outside where, which a pipeline has already
+decided, are not asked and get null.
+
+A Live decision is written down in the shared folder before anything reads it, so each row is asked once, whatever is made of the answers
+and however often; a function that answers differently each time can't put a row into two branches or none.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.durable import durable
 from quillon.functions import text as T
 
 #: What each kind of decision answers with.
@@ -48,7 +52,7 @@ SEVERITY = ("Low", "Medium", "High", "N/A")
 
 
 class Decider(Protocol):
-    def decide(self, rows: DataFrame, kind: str, inputs: dict[str, Column], out: str) -> DataFrame: ...
+    def decide(self, rows: DataFrame, kind: str, inputs: dict[str, Column], out: str, where: Column | None = None) -> DataFrame: ...
 
 
 def input_hash(inputs: dict[str, Column]) -> Column:
@@ -62,17 +66,19 @@ class Recorded:
     def __init__(self, decisions: DataFrame) -> None:
         self.decisions = decisions
 
-    def decide(self, rows: DataFrame, kind: str, inputs: dict[str, Column], out: str) -> DataFrame:
+    def decide(self, rows: DataFrame, kind: str, inputs: dict[str, Column], out: str, where: Column | None = None) -> DataFrame:
         known = self.decisions.filter(F.col("kind") == kind).select(F.col("input_hash").alias("_h"), F.from_json("payload", SCHEMAS[kind]).alias(out))
-        return rows.withColumn("_h", input_hash(inputs)).join(known, "_h", "left").drop("_h")
+        hashed = input_hash(inputs) if where is None else F.when(where, input_hash(inputs))
+        return rows.withColumn("_h", hashed).join(known, "_h", "left").drop("_h")
 
 
 class Rules:
     """Offline stand-ins, all of them column expressions."""
 
-    def decide(self, rows: DataFrame, kind: str, inputs: dict[str, Column], out: str) -> DataFrame:
+    def decide(self, rows: DataFrame, kind: str, inputs: dict[str, Column], out: str, where: Column | None = None) -> DataFrame:
         fields = getattr(self, kind)(**inputs)
-        return rows.withColumn(out, F.struct(*(v.alias(k) for k, v in fields.items())).cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in _parts(SCHEMAS[kind]))}>"))
+        answer = F.struct(*(v.alias(k) for k, v in fields.items())).cast(_struct(kind))
+        return rows.withColumn(out, answer if where is None else F.when(where, answer))
 
     def clause_match(self, clause: Column) -> dict[str, Column]:
         return {"needs_lookup": F.size(F.split(T.strip(clause), r"\s+")) >= 5}
@@ -169,21 +175,36 @@ def _parts(schema: str) -> list[str]:
     return schema.split(", ") if "<" not in schema else [schema]
 
 
+def _struct(kind: str) -> str:
+    return f"struct<{', '.join(x.replace(' ', ':', 1) for x in _parts(SCHEMAS[kind]))}>"
+
+
 class Live:
-    """Calls function(kind, rows of inputs) for each batch, which answers with a dict or None for each row. calls bounds how many tasks call at once."""
+    """Calls function(kind, rows of inputs) for each batch of open rows, which answers with a dict or None for each row.
+
+    calls bounds how many tasks call at once. What leads to the rows is worked out before, by as many tasks as it takes, and
+    both it and the answers are durable.
+    """
 
     def __init__(self, function: Callable[[str, list[dict]], list[dict | None]], calls: int = 5) -> None:
         self.function, self.calls = function, calls
 
-    def decide(self, rows: DataFrame, kind: str, inputs: dict[str, Column], out: str) -> DataFrame:
-        function = self.function
+    def decide(self, rows: DataFrame, kind: str, inputs: dict[str, Column], out: str, where: Column | None = None) -> DataFrame:
+        function, names = self.function, [x.split(" ")[0] for x in _parts(SCHEMAS[kind])]
 
-        @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in _parts(SCHEMAS[kind]))}>")
+        @F.pandas_udf(_struct(kind))
         def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                names = [x.split(" ")[0] for x in _parts(SCHEMAS[kind])]
-                answers = function(kind, part.to_dict("records"))
+                open_ = part.pop("_open").to_numpy(bool)
+                told = iter(function(kind, part[open_].to_dict("records")) if open_.any() else [])
+                answers = [next(told) if o else None for o in open_.tolist()]
                 yield pd.DataFrame([a if a is not None else dict.fromkeys(names) for a in answers], columns=names)
 
-        answer = ask.asNondeterministic()(F.struct(*(c.alias(k) for k, c in sorted(inputs.items()))))
-        return rows.coalesce(self.calls).withColumn(out, answer)
+        open_ = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        ready = durable(rows.withColumn("_open", open_).withColumn("_in", F.struct(*(c.alias(k) for k, c in sorted(inputs.items())), "_open")))
+        answered = ready.coalesce(self.calls).withColumn(out, ask.asNondeterministic()("_in"))
+        # A struct without any answer is null, as with the other deciders.
+        nothing = F.lit(True)
+        for name in names:
+            nothing &= F.col(f"{out}.{name}").isNull()
+        return durable(answered).withColumn(out, F.when(~nothing, F.col(out))).drop("_open", "_in")

@@ -1,14 +1,14 @@
 """Vector stores and cosine top-k retrieval, merging and ranking.
 
 A store is a table with doc_id or key columns and vector (array of float or double). Vectors are compared as unit vectors
-in blocks: a bounded block of queries is broadcast, each batch of the store is scored by one matrix product and keeps its
-own best k for each query, and only those few rows are shuffled for the final ranking. More queries take more blocks.
+in blocks: few queries are broadcast, each batch of the store is scored by one matrix product and keeps its
+own best k for each query, and only those few rows are shuffled for the final ranking. Many queries are dealt out in blocks that meet
+blocks of the store, each pair of blocks in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.durable import durable
 from quillon.functions import text as T
 
-#: Numbers in a block of query vectors that is broadcast: 64 MB.
-QUERY_NUMBERS = 8_000_000
+#: Numbers in query vectors that are broadcast (64 MB), and in either side of a block that a task gets (16 MB).
+QUERY_NUMBERS, BLOCK_NUMBERS = 8_000_000, 2_000_000
+#: Groups up to which the table of their blocks is broadcast (some 50 bytes each).
+BROADCAST_GROUPS = 200_000
 #: Scores that a task holds at a time: 16 MB.
 SCORES = 2_000_000
 #: Candidates that a decision sees, and how much of each.
@@ -96,60 +99,108 @@ def _largest(score: np.ndarray, n: int) -> np.ndarray:
     return np.hstack([first, np.where(second == first, (first + 1) % score.shape[1], second)])
 
 
-def top_k(store: DataFrame, queries: DataFrame, k: int, key: str = "key", query: str = "query_id", vector: str = "vector", without_self: bool = False, digits: int = 6) -> DataFrame:
-    """query, key, score, rank: the k rows of the store with the largest cosines for each query.
+def _scores(matrix: np.ndarray, own: np.ndarray, digits: int) -> np.ndarray:
+    score = np.round(matrix @ own, digits)
+    score[np.isnan(score)] = -np.inf
+    return score + 0.0
 
-    queries has query and vector. Scores are rounded to so many digits; ties go to the least key. A store of fewer rows is
-    returned whole. Null vectors, and those of another length, match nothing; a zero vector has cosine 0 with all.
+
+def _best(ids: pa.Array, matrix: np.ndarray, own: np.ndarray, groups: np.ndarray | None, most: int, digits: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(queries, places of rows, scores): for each query its best rows, at most so many (of each group); own rows are in order of key."""
+    if not len(own) or not len(matrix) or own.shape[1] != matrix.shape[1]:
+        return
+    own, step = own.T, max(1, SCORES // own.shape[0])
+    for begin in range(0, len(ids), step):
+        score = _scores(matrix[begin : begin + step], own, digits)
+        if groups is None:
+            best = _largest(score, most)
+            q, at = np.repeat(np.arange(len(score)), best.shape[1]), best.ravel()
+        else:
+            order = np.lexsort([np.broadcast_to(np.arange(score.shape[1]), score.shape), -score, np.broadcast_to(groups, score.shape)], axis=1)
+            first = np.concatenate([[True], np.diff(groups[order[0]]) != 0])
+            place = np.arange(len(groups)) - np.maximum.accumulate(np.where(first, np.arange(len(groups)), 0))
+            best = order[:, place < most]
+            q, at = np.repeat(np.arange(len(score)), best.shape[1]), best.ravel()
+        found = score[q, at]
+        real = found > -np.inf
+        yield ids.take(pa.array(begin + q[real])), at[real], found[real]
+
+
+def _order(keys: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.argsort(np.asarray(keys.to_pylist(), object if pa.types.is_string(keys.type) else None), kind="stable")
+
+
+def top_k(store: DataFrame, queries: DataFrame, k: int, key: str = "key", query: str = "query_id", vector: str = "vector", without_self: bool = False, digits: int = 6, by: str | None = None) -> DataFrame:
+    """query, (by,) key, score, rank: the k rows of the store with the largest cosines for each query.
+
+    queries has query and vector. With by, a column of the store, each query gets the k best rows of each by (each document, say); if queries
+    has it too, only of its own one. Scores are rounded to so many digits; ties go to the least key. A store of fewer rows is
+    returned whole. Null vectors, and those of another length, match nothing; a zero vector has cosine 0 with all; a null by matches nothing.
+
+    Few queries are broadcast, at most QUERY_NUMBERS numbers. Of more queries, and of queries that have a by, blocks are laid together with
+    blocks of the store by a shuffle.
     """
-    kind, own = store.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
-    first = queries.select(F.size(vector)).filter(F.col(vector).isNotNull()).first() if queries else None
-    per_block = max(1, QUERY_NUMBERS // max(1, first[0] if first else 1))
-    count = queries.count()
-    blocks = max(1, -(-count // per_block))
-    numbered = queries.select(query, vector) if blocks == 1 else queries.select(query, vector, F.pmod(F.xxhash64(query), F.lit(blocks)).alias("_b"))
-    found = []
-    for b in range(blocks):
-        rows = (numbered if blocks == 1 else numbered.filter(F.col("_b") == b)).select(query, vector).toArrow()
-        if not rows.num_rows:
-            continue
-        shared = store.sparkSession.sparkContext.broadcast((rows.column(query).combine_chunks(), _matrix(rows.column(vector))))
-
-        def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    paired = by is not None and by in queries.columns
+    asked = queries.select(F.col(query).alias("_q"), F.col(vector).alias("vector"), *([F.col(by).alias("_by")] if paired else []))
+    rows = store.select(F.col(key).alias("_key"), F.col(vector).alias("vector"), *([F.col(by).alias("_by")] if by else []))
+    rows = rows.filter("_by is not null") if by else rows
+    grouped = ["_by"] if by else []
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = ", ".join([f"_q {kind(asked, '_q')}", f"_key {kind(rows, '_key')}", *(f"_by {kind(rows, '_by')}" for _ in grouped), "score double"])
+    names, most = ["_q", "_key", *grouped, "score"], k + bool(without_self)
+    few = None if paired else _few(asked)
+    if few is None and by and not paired:
+        raise ValueError("queries for every group must be few; give each a group of its own")
+    if few is not None:
+        shared = store.sparkSession.sparkContext.broadcast(few)
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             for part in parts:
-                own_rows = _matrix(part.column("vector"))
-                if not len(own_rows) or own_rows.shape[1] != matrix.shape[1]:
-                    continue
-                keys = part.column("key")
-                order = np.argsort(np.asarray(keys.to_pylist(), object if kind == "string" else None), kind="stable")
-                own_rows, step = own_rows[order].T, max(1, SCORES // len(own_rows))
-                for begin in range(0, len(ids), step):
-                    score = np.round(matrix[begin : begin + step] @ own_rows, digits)
-                    score[np.isnan(score)] = -np.inf
-                    best = _largest(score, k + bool(without_self))
-                    q = np.repeat(np.arange(len(score)), best.shape[1])
-                    picked = score[q, best.ravel()]
-                    real = picked > -np.inf
-                    yield pa.record_batch([ids.take(pa.array(begin + q[real])), keys.take(pa.array(order[best.ravel()][real])), pa.array(picked[real] + 0.0)], [query, "key", "score"])
-
-        scored = store.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInArrow(run, f"`{query}` {own}, key {kind}, score double")
-        found.append(scored)
-    if not found:
-        return store.sparkSession.createDataFrame([], f"`{query}` {own}, `{key}` {kind}, score double, rank int")
-    near = reduce(DataFrame.unionByName, found)
-    near = near.filter(F.col(query) != F.col("key")) if without_self else near
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "key"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select(query, F.col("key").alias(key), "score", "rank")
-
-
-def top_k_within(store: DataFrame, queries: DataFrame, k: int, key: str = "key", by: str = "doc_id", query: str = "query_id", vector: str = "vector", digits: int = 6) -> DataFrame:
-    """query, by, key, score, rank: the k rows of each document (by) with the largest cosines for each query, as by top_k. Queries are few."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = store.select(by, key, F.col(vector).alias("_v")).crossJoin(F.broadcast(queries.select(query, F.col(vector).alias("_q")))).filter("_v is not null and _q is not null and size(_v) = size(_q)")
-    cosine = F.coalesce(F.try_divide(dot("_v", "_q"), F.sqrt(dot("_v", "_v")) * F.sqrt(dot("_q", "_q"))), F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy(query, by).orderBy(F.desc("score"), key))
-    return pairs.select(query, by, key, F.round(cosine, digits).alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
+                part = part.take(pa.array(_order(part.column("_key"))))
+                groups = np.unique(np.array([str(x) for x in part.column("_by").to_pylist()]), return_inverse=True)[1] if by else None
+                for q, at, score in _best(ids, matrix, _matrix(part.column("vector")), groups, most, digits):
+                    yield pa.record_batch([q, *(part.column(c).take(pa.array(at)) for c in ("_key", *grouped)), pa.array(score)], names)
+
+        found = rows.mapInArrow(run, schema)
+    else:
+
+        def meet(own: pa.Table, others: pa.Table) -> pa.Table:
+            own = own.take(pa.array(_order(own.column("_key")))).combine_chunks()
+            out = [pa.table([others.column("_q").slice(0, 0), *(own.column(c).slice(0, 0) for c in ("_key", *grouped)), pa.array([], pa.float64())], names)]
+            for q, at, score in _best(others.column("_q").combine_chunks(), _matrix(others.column("vector")), _matrix(own.column("vector")), None, most, digits):
+                out.append(pa.table([q, *(own.column(c).take(pa.array(at)) for c in ("_key", *grouped)), pa.array(score)], names))
+            return pa.concat_tables(out)
+
+        left, right = _blocks(rows, asked)
+        found = left.groupBy("_by", "_b", "_s").cogroup(right.groupBy("_by", "_b", "_s")).applyInArrow(meet, schema)
+    found = found.filter(F.col("_q") != F.col("_key")) if without_self else found
+    rank = F.row_number().over(Window.partitionBy("_q", *grouped).orderBy(F.desc("score"), "_key"))
+    ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked.select(F.col("_q").alias(query), *(F.col(c).alias(by) for c in grouped), F.col("_key").alias(key), "score", "rank")
+
+
+def _few(asked: DataFrame) -> tuple[pa.Array, np.ndarray] | None:
+    """The queries and their matrix, if they have at most QUERY_NUMBERS numbers; otherwise nothing is fetched."""
+    size = asked.agg(F.sum(F.size("vector")).alias("numbers"), F.count(F.lit(1)).alias("n")).first()
+    if max(size.numbers or 0, size.n) > QUERY_NUMBERS:
+        return None
+    rows = asked.toArrow()
+    return rows.column("_q").combine_chunks(), _matrix(rows.column("vector"))
+
+
+def _blocks(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with _b and _s, so that in each group every block of queries meets every block of rows once. A group of any size is cut."""
+    rows, asked = (df if "_by" in df.columns else df.withColumn("_by", F.lit(0)) for df in (rows, asked))
+    size = lambda df, name: df.groupBy("_by").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("vector")) / BLOCK_NUMBERS)).cast("long").alias(name))
+    # A row for each group.
+    sides = durable(size(rows, "_of_rows").join(size(asked, "_of_asked"), "_by"))
+    sides = F.broadcast(sides) if sides.count() <= BROADCAST_GROUPS else sides
+    cut = lambda name, of, *c: F.pmod(F.xxhash64(*c), F.col(of)).alias(name)
+    every = lambda name, of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1)).alias(name)
+    left = rows.join(sides, "_by").select("_by", cut("_s", "_of_rows", "_key", "vector"), every("_b", "_of_asked"), "_key", "vector")
+    right = asked.join(sides, "_by").select("_by", cut("_b", "_of_asked", "_q", "vector"), every("_s", "_of_rows"), "_q", "vector")
+    return left, right
 
 
 def deduplicate(hits: DataFrame, key: Column | str = "key", by: str | None = None) -> DataFrame:

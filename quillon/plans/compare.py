@@ -1,7 +1,7 @@
 """Page-by-page comparison of two documents, and single-prompt comparison.
 
-Each step asks its question only of the items that are still open; an item that a step ends goes to the result and
-meets no further decision. A failed decision (null) ends or degrades its own item, never the run.
+Each step asks its question only of the items that are still open; an item that a step ends meets no further decision.
+A failed decision (null) ends or degrades its own item, never the run.
 """
 
 from __future__ import annotations
@@ -20,70 +20,61 @@ from quillon.operators.vectors import top_k
 NEIGHBOURS = 5
 CONTEXT_LIMIT, CONTEXT_SHARE = 131_072, 0.85
 LONG_LABEL, LABEL_PROMPT_CHARS = 50, 120
-ITEM = ["item_no", "section", "base_page", "compare_page", "base_paragraph", "compare_paragraph", "deviation", "deviation_type", "score", "severity", "comments"]
 
 
-def _closed(rows: DataFrame, section: Column | None = None, base: Column | None = None, page: Column | None = None) -> DataFrame:
-    """Items without deviation."""
-    return rows.select(
-        "item_no", (F.lit("N/A") if section is None else section).alias("section"), (F.lit(0) if page is None else page).cast("int").alias("base_page"), "compare_page",
-        (F.lit("") if base is None else base).alias("base_paragraph"), "compare_paragraph", F.lit(False).alias("deviation"), F.lit("none").alias("deviation_type"), F.lit(0).alias("score"), F.lit("N/A").alias("severity"), F.lit(None).cast("string").alias("comments"),
-    )
-
-
-def retrieve_candidates(items: DataFrame, base: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """item_no, candidates: array of (index, page, content, score), best first. base has key, page, content, vector."""
-    hits = top_k(base, items.select("item_no", "vector"), k, key="key", query="item_no")
-    rows = hits.join(base.select("key", "page", "content"), "key")
+def retrieve_candidates(items: DataFrame, base: DataFrame, k: int = NEIGHBOURS, by: str | None = None) -> DataFrame:
+    """item_no, (by,) candidates: array of (index, page, content, score), best first. base has key, page, content, vector; with by, items meet only their own by."""
+    own = [by] if by else []
+    hits = top_k(base, items.select("item_no", "vector", *own), k, key="key", query="item_no", by=by)
+    rows = hits.join(base.select("key", "page", "content", *own), ["key", *own])
     one = F.struct((F.col("rank") - 1).alias("index"), "page", "content", "score")
-    return rows.groupBy("item_no").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+    return rows.groupBy("item_no", *own).agg(F.array_sort(F.collect_list(one)).alias("candidates"))
 
 
-def compare_pages(compare: DataFrame, base: DataFrame, decider: Decider, k: int = NEIGHBOURS) -> DataFrame:
+def compare_pages(compare: DataFrame, base: DataFrame, decider: Decider, k: int = NEIGHBOURS, by: str | None = None) -> DataFrame:
     """One deviation item for each page of compare (item_no, page, content, vector) against base (key, page, content, vector).
 
-    Pages of the base document that no page is compared with are not reported (see omitted_pages).
+    With by, a column of both, many pairs of documents are compared at once, each within itself; keys are unique within it. Every item is in one
+    row from beginning to end; a step asks only about items that are open. Pages of the base document that no page is compared with
+    are not reported (see omitted_pages).
     """
-    ask, done = decider.decide, []
-    items = compare.select("item_no", F.col("page").alias("compare_page"), F.col("content").alias("compare_paragraph"), "vector")
-    items = ask(items, "clause_match", {"clause": F.col("compare_paragraph")}, "d1")
-    needs = F.coalesce(F.col("d1.needs_lookup"), F.lit(False))
-    done.append(_closed(items.filter(~needs)))
-    found = items.filter(needs)
-    found = found.join(retrieve_candidates(found, base, k), "item_no", "left")
-    empty = F.col("candidates").isNull()
-    done.append(_closed(found.filter(empty)))
-    found = ask(found.filter(~empty), "best_match", {"compare_clause": F.col("compare_paragraph"), "candidates": F.col("candidates")}, "d3")
+    ask, own = decider.decide, [by] if by else []
+    true = lambda c: F.coalesce(c, F.lit(False))
+    items = compare.select("item_no", *own, F.col("page").alias("compare_page"), F.col("content").alias("compare_paragraph"), "vector")
+    items = ask(items, "clause_match", {"clause": F.col("compare_paragraph")}, "d1").withColumn("needs", true(F.col("d1.needs_lookup")))
+    rows = items.join(retrieve_candidates(items.filter("needs"), base, k, by), ["item_no", *own], "left").drop("vector")
+    rows = ask(rows, "best_match", {"compare_clause": F.col("compare_paragraph"), "candidates": F.col("candidates")}, "d3", F.col("candidates").isNotNull())
     index = F.col("d3.best_index")
-    sure = F.coalesce((F.col("d3.confidence") != "Low") & (index >= 0) & (index < F.size("candidates")), F.lit(False))
-    done.append(_closed(found.filter(~sure)))
-    chosen = found.filter(sure).withColumn("b", F.get("candidates", index)).withColumn("base_page", F.col("b.page"))
-    chosen = ask(chosen, "targeted_context", {"base_text": F.col("b.content"), "compare_clause": F.col("compare_paragraph")}, "d35")
+    rows = rows.withColumn("sure", true((F.col("d3.confidence") != "Low") & (index >= 0) & (index < F.size("candidates"))))
+    rows = rows.withColumn("b", F.when(F.col("sure"), F.get("candidates", index))).drop("candidates")
+    rows = ask(rows, "targeted_context", {"base_text": F.col("b.content"), "compare_clause": F.col("compare_paragraph")}, "d35", F.col("sure"))
     snippet = T.strip(F.coalesce(F.col("d35.snippet"), F.lit("")))
-    chosen = chosen.withColumn("snippet", F.when(snippet != "", snippet).otherwise(F.col("b.content")))
+    rows = rows.withColumn("snippet", F.when(snippet != "", snippet).otherwise(F.col("b.content")))
     both = {"base_clause": F.col("snippet"), "compare_clause": F.col("compare_paragraph")}
-    chosen = ask(chosen, "deviation", both, "d4")
-    failed = F.col("d4.has_deviation").isNull()
-    done.append(_closed(chosen.filter(failed), None, F.col("snippet"), F.col("base_page")))
-    labelled = ask(chosen.filter(~failed), "section_label", both, "d5")
-    section = F.coalesce("d5.section", F.lit("N/A"))
-    done.append(_closed(labelled.filter("not d4.has_deviation"), section, F.col("snippet"), F.col("base_page")))
-    open_ = labelled.filter("d4.has_deviation").withColumn("kind", F.col("d4.deviation_type"))
+    rows = ask(rows, "deviation", both, "d4", F.col("sure"))
+    rows = rows.withColumn("told", F.col("d4.has_deviation").isNotNull()).withColumn("differs", true(F.col("d4.has_deviation"))).withColumn("kind", F.col("d4.deviation_type"))
+    rows = ask(rows, "section_label", both, "d5", F.col("told"))
     comment = both | {"deviation_type": F.col("kind")}
-    open_ = ask(open_, "comment", comment | {"correction_notes": F.lit("")}, "d6").withColumn("text", F.col("d6.comments"))
-    open_ = ask(open_, "grounding", {"comments": F.col("text")} | both, "d7")
-    weak = F.coalesce(~F.col("d7.grounded") & (F.coalesce("d7.issues", F.lit("")) != ""), F.lit(False))
-    again = ask(open_.filter(weak), "comment", comment | {"correction_notes": F.col("d7.issues")}, "d6b").withColumn("text", F.coalesce("d6b.comments", "text")).drop("d6b")
-    grounded = open_.filter(~weak).unionByName(again)
-    rated = ask(grounded, "materiality", {"deviation_type": F.col("kind"), "comments": F.col("text")} | both, "d8")
-    flagged = rated.select(
-        "item_no", section.alias("section"), F.col("base_page").cast("int").alias("base_page"), "compare_page", F.col("snippet").alias("base_paragraph"), "compare_paragraph", F.lit(True).alias("deviation"),
-        F.col("kind").alias("deviation_type"), F.coalesce("d8.score", F.lit(0)).alias("score"), F.coalesce("d8.severity", F.lit("N/A")).alias("severity"), F.col("text").alias("comments"),
+    rows = ask(rows, "comment", comment | {"correction_notes": F.lit("")}, "d6", F.col("differs"))
+    rows = ask(rows, "grounding", {"comments": F.col("d6.comments")} | both, "d7", F.col("differs"))
+    weak = true(~F.col("d7.grounded") & (F.coalesce("d7.issues", F.lit("")) != ""))
+    rows = ask(rows, "comment", comment | {"correction_notes": F.col("d7.issues")}, "d6b", weak).withColumn("text", F.coalesce("d6b.comments", "d6.comments"))
+    rows = ask(rows, "materiality", {"deviation_type": F.col("kind"), "comments": F.col("text")} | both, "d8", F.col("differs"))
+    given = lambda c, otherwise: F.coalesce(c, F.lit(otherwise))
+    return rows.select(
+        *own,
+        "item_no",
+        F.when(F.col("told"), given("d5.section", "N/A")).otherwise("N/A").alias("section"),
+        given("b.page", 0).cast("int").alias("base_page"),
+        "compare_page",
+        F.when(F.col("sure"), F.col("snippet")).otherwise("").alias("base_paragraph"),
+        "compare_paragraph",
+        F.col("differs").alias("deviation"),
+        F.when(F.col("differs"), F.col("kind")).otherwise("none").alias("deviation_type"),
+        F.when(F.col("differs"), given("d8.score", 0)).otherwise(0).alias("score"),
+        F.when(F.col("differs"), given("d8.severity", "N/A")).otherwise("N/A").alias("severity"),
+        F.when(F.col("differs"), F.col("text")).alias("comments"),
     )
-    out = flagged
-    for rows in done:
-        out = out.unionByName(rows)
-    return out.select(*ITEM)
 
 
 def omitted_pages(base: DataFrame, items: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def extract_section(chunks: DataFrame, query: str, embed: Callable[[Column], Col
     named = decider.decide(listed, "heading_rank", {"query": F.lit(query), "headings": F.col("headings")}, "d").select("doc_id", "ids", F.posexplode(F.slice("d.headings", 1, 3)).alias("rank", "at"))
     named = named.select("doc_id", F.get("ids", F.col("at")).alias("chunk_id"), "rank").filter("chunk_id is not null")
     queries = query_rows(spark, [t.format(query) for t in TEMPLATES], embed)
-    hits = vectors.with_heading_matches(vectors.top_k_within(store, queries, top_k, "chunk_key"), vectors.heading_matches(store, queries, key="chunk_key"), "chunk_key")
+    hits = vectors.with_heading_matches(vectors.top_k(store, queries, top_k, "chunk_key", by="doc_id").drop("doc_id"), vectors.heading_matches(store, queries, key="chunk_key"), "chunk_key")
     best = hits.groupBy("chunk_key").agg(F.max("score").alias("score")).join(store.select("chunk_key", "doc_id", "chunk_id"), "chunk_key")
     semantic = best.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_id"))).select("doc_id", "chunk_id", "rank")
     order = vectors.candidate_list(named, semantic)
@@ -69,7 +69,7 @@ def extract_section(chunks: DataFrame, query: str, embed: Callable[[Column], Col
 def extract_definitions(chunks: DataFrame, embed: Callable[[Column], Column], top_k: int = 10) -> DataFrame:
     """For each document, the definitions section by retrieval among its own chunks (top_k for each query), the best anchor among the hits, and the walk from it."""
     store = _keyed(vectors.build_chunk_store(chunks, embed))
-    hits = vectors.top_k_within(store, query_rows(chunks.sparkSession, [*DEFINITION_QUERIES], embed), top_k, "chunk_key")
+    hits = vectors.top_k(store, query_rows(chunks.sparkSession, [*DEFINITION_QUERIES], embed), top_k, "chunk_key", by="doc_id")
     candidates = store.join(hits.select("chunk_key").distinct(), "chunk_key", "left_semi")
     anchors = vectors.pick_anchor(candidates.withColumn("position", F.struct("start_page", "chunk_id")), ["doc_id"], "position")
     return gather.stitch_full_texts(gather.walk_from_anchor(chunks, anchors.select("doc_id", F.col("chunk_id").alias("anchor_id"))))
@@ -96,9 +96,9 @@ class SectionIndex:
         self.store = _keyed(vectors.build_chunk_store(chunks, embed)).persist()
 
     def search(self, query: str, top_k: int = 3, decider: Decider | None = None) -> DataFrame:
-        """query, doc_id, heading, content, pages, chunk_ids (verified, output) of the section around the best hit; no row without hits."""
-        hits = vectors.top_k(self.store, query_rows(self.chunks.sparkSession, [query], self.embed), top_k, "chunk_key").filter("rank = 1")
-        anchors = self.store.join(F.broadcast(hits.select("chunk_key")), "chunk_key", "left_semi").select("doc_id", F.col("chunk_id").alias("anchor_id"))
+        """query, doc_id, heading, content, pages, chunk_ids (verified, output) of the section around each document's best hit; no row for a document without hits."""
+        hits = vectors.top_k(self.store, query_rows(self.chunks.sparkSession, [query], self.embed), top_k, "chunk_key", by="doc_id").filter("rank = 1")
+        anchors = self.store.join(hits.select("chunk_key"), "chunk_key", "left_semi").select("doc_id", F.col("chunk_id").alias("anchor_id"))
         found = gather.assemble_search(gather.search_section(self.chunks, anchors)).withColumn("query", F.lit(query))
         if decider is None:
             return found.withColumn("verified", F.lit(False)).withColumn("output", F.lit(None).cast("string"))

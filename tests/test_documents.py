@@ -243,11 +243,12 @@ class Scripted(Rules):
     def __init__(self, **answers):
         self.answers = answers
 
-    def decide(self, rows, kind, inputs, out):
+    def decide(self, rows, kind, inputs, out, where=None):
         if kind not in self.answers:
-            return super().decide(rows, kind, inputs, out)
+            return super().decide(rows, kind, inputs, out, where)
         answer = self.answers[kind]
-        return rows.withColumn(out, F.lit(None).cast(f"struct<{_struct(kind)}>") if answer is None else F.struct(*(F.lit(v).alias(k) for k, v in answer.items())).cast(f"struct<{_struct(kind)}>"))
+        told = F.lit(None).cast(f"struct<{_struct(kind)}>") if answer is None else F.struct(*(F.lit(v).alias(k) for k, v in answer.items())).cast(f"struct<{_struct(kind)}>")
+        return rows.withColumn(out, told if where is None else F.when(where, told))
 
 
 def pages(spark):
