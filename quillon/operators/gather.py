@@ -19,12 +19,17 @@ def _all() -> WindowSpec:
 
 
 def _around(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The chunks of each anchor's document, with the anchor's heading beside them (a_heading)."""
+    """The headings of the chunks of each anchor's document, with the anchor's heading beside them (a_heading)."""
     heads = anchors.select("doc_id", "anchor_id").distinct().join(chunks.select("doc_id", F.col("chunk_id").alias("anchor_id"), F.col("heading").alias("a_heading")), ["doc_id", "anchor_id"])
-    rows = chunks.join(heads, "doc_id")
+    rows = chunks.select("doc_id", "chunk_id", "heading").join(heads, "doc_id")
     return rows.withColumn("base", T.base_heading("heading")).withColumn("a_base", T.base_heading("a_heading")).withColumn("number", T.heading_number("heading")).withColumn("a_number", T.heading_number("a_heading"))
 
 
+def _fetched(picked: DataFrame, chunks: DataFrame, *more: str) -> DataFrame:
+    """The chunks that were picked, with anchor_id and more."""
+    return picked.select("doc_id", "chunk_id", "anchor_id", *more).join(chunks, ["doc_id", "chunk_id"]).select("anchor_id", *more, *chunks.columns)
+
+
 def _walk(rows: DataFrame, stops: Column, holds: Column) -> Column:
     """Whether a chunk lies between the last one before the anchor that does not hold and the first after it that stops."""
     here, at = F.col("chunk_id"), F.col("anchor_id")
@@ -55,8 +60,7 @@ def gather_full_section(chunks: DataFrame, anchors: DataFrame, version: int = 2)
     mine = F.when(F.col("a_number").isNotNull(), numbered)
     if version == 2:
         mine = mine.when(a_kind.isNotNull(), named)
-    picked = rows.withColumn("_mine", mine.otherwise(same)).filter("_mine")
-    return picked.select("anchor_id", *chunks.columns)
+    return _fetched(rows.withColumn("_mine", mine.otherwise(same)).filter("_mine"), chunks)
 
 
 def walk_from_anchor(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -67,8 +71,7 @@ def walk_from_anchor(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
     a_top = T.group(T.strip("a_heading"), top, 1)
     plain = own.isNull() & (heading != "") & ~heading.startswith("(") & (F.length(heading) < 80) & (F.col("chunk_id") > F.col("anchor_id") + 1)
     stops = F.coalesce(own != a_top, F.lit(False)) | plain
-    picked = rows.withColumn("_mine", _walk(rows, stops, F.lit(False))).filter("_mine")
-    return picked.select("anchor_id", *chunks.columns)
+    return _fetched(rows.withColumn("_mine", _walk(rows, stops, F.lit(False))).filter("_mine"), chunks)
 
 
 def search_section(chunks: DataFrame, hits: DataFrame) -> DataFrame:
@@ -77,13 +80,13 @@ def search_section(chunks: DataFrame, hits: DataFrame) -> DataFrame:
     chunks has parent_heading. Comes out with anchor_id and matched_heading.
     """
     heads = hits.select("doc_id", "anchor_id").distinct().join(chunks.select("doc_id", F.col("chunk_id").alias("anchor_id"), F.col("parent_heading").alias("matched_heading")), ["doc_id", "anchor_id"])
-    rows = chunks.join(heads, "doc_id")
+    rows = chunks.select("doc_id", "chunk_id", "parent_heading").join(heads, "doc_id")
     same = F.col("parent_heading") == F.col("matched_heading")
     rows = rows.withColumn("_start", F.min(F.when(same, F.col("chunk_id"))).over(_all()))
     stops = ~same & (T.any_level("parent_heading") <= T.any_level("matched_heading")) & (F.col("chunk_id") > F.col("_start"))
     rows = rows.withColumn("_end", F.min(F.when(stops, F.col("chunk_id"))).over(_all()))
     picked = rows.filter((F.col("chunk_id") >= F.col("_start")) & (F.col("_end").isNull() | (F.col("chunk_id") < F.col("_end"))))
-    return picked.select("anchor_id", "matched_heading", *chunks.columns)
+    return _fetched(picked, chunks, "matched_heading")
 
 
 def _pages() -> Column:

@@ -17,6 +17,7 @@ from quillon.operators import collate, gather, sections, split, strikes, vectors
 from quillon.operators import definitions as D
 from quillon.operators.decide import Rules
 from quillon.plans import compare as compare_plan
+from quillon.plans import extract as extract_plan
 from quillon.plans import form_check as form_plan
 from quillon.plans import report, self_rag
 from quillon.sources import blocks as B
@@ -182,14 +183,15 @@ SQL["font_headings_chunks"] = f"WITH {_FONT_CHUNKS} SELECT doc_id, chunk_id, hea
 
 
 def _anchored(sql: str) -> str:
-    return rf"""WITH {_FONT_CHUNKS}, a AS (SELECT doc_id, chunk_id AS anchor_id, heading AS a_heading FROM chunks WHERE chunk_id % 7 = 3),
+    return rf"""WITH {_FONT_CHUNKS}, a AS (SELECT doc_id, chunk_id AS anchor_id, heading AS a_heading FROM chunks),
 j AS (SELECT c.*, anchor_id, a_heading, trim(regexp_replace(heading, '\s*\(part \d+\)\s*$', '')) AS base, trim(regexp_replace(a_heading, '\s*\(part \d+\)\s*$', '')) AS a_base,
   nullif(regexp_extract(heading, '^(\d+(?:\.\d+)*)\s*\.?\s', 1), '') AS number, nullif(regexp_extract(a_heading, '^(\d+(?:\.\d+)*)\s*\.?\s', 1), '') AS a_number FROM chunks c JOIN a USING (doc_id)),
 {sql}"""
 
 
 def _anchors(chunks: DataFrame) -> DataFrame:
-    return chunks.filter("chunk_id % 7 = 3").select("doc_id", F.col("chunk_id").alias("anchor_id"))
+    """Every chunk of every document."""
+    return chunks.select("doc_id", F.col("chunk_id").alias("anchor_id"))
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -254,42 +256,6 @@ array_to_string(list_sort(list_distinct(flatten(list(pages)))), ',') AS pages, m
 WHERE CASE WHEN a_number IS NOT NULL THEN chunk_id > coalesce(lo, -1) AND (hi IS NULL OR chunk_id < hi) ELSE base = a_base END GROUP BY doc_id, anchor_id"""
 
 
-# The five above search from some anchors only, as does their SQL. The five below search from every chunk of every document.
-
-
-def _every(chunks: DataFrame) -> DataFrame:
-    return chunks.select("doc_id", F.col("chunk_id").alias("anchor_id"))
-
-
-def gather_section_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    return _gathered(gather.gather_full_section(chunks, _every(chunks)))
-
-
-def gather_section_v1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    return _gathered(gather.gather_full_section(chunks, _every(chunks), version=1))
-
-
-def walk_from_anchor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    return _gathered(gather.walk_from_anchor(chunks, _every(chunks)))
-
-
-def search_section_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = C.with_parent_heading(_chunks(spark, sf_dir))
-    return _gathered(gather.search_section(chunks, _every(chunks)))
-
-
-def merged_sections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    merged = gather.merge_chunks(gather.gather_full_section(chunks, _every(chunks)))
-    return _pages_text(merged, "pages").select("doc_id", F.col("anchor_id").cast("long").alias("anchor_id"), "heading", "content", "pages", F.col("chunk_id").cast("long").alias("chunk_id"))
-
-
-SQL |= {f"{k}_all": SQL[k].replace(" WHERE chunk_id % 7 = 3", "") for k in ("gather_section", "gather_section_v1", "walk_from_anchor", "search_section", "merged_sections")}
-
-
 def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _numbered(_lines(spark, sf_dir))
     decided = blocks.filter("(doc_id % 2 = 0 and page <= 3) or (doc_id % 3 = 0 and page in (1, 9))").select("doc_id", "page").distinct()
@@ -398,6 +364,56 @@ SQL["anchor_pick"] = rf"""WITH {_FONT_CHUNKS}, s AS (SELECT doc_id, chunk_id, CA
 SELECT doc_id, chunk_id, round(sc, 6) AS anchor_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sc DESC, chunk_id) AS n FROM s) WHERE n = 1"""
 
 
+_VECTOR = "list_transform(range(1, 32, 2), lambda k: ('0x' || substr(md5({0}), k, 2))::INT / 127.5 - 1)"
+_COS_V = "round(list_cosine_similarity(q.v::DOUBLE[], c.v::DOUBLE[]), 6)"
+
+
+def _asked(texts: tuple[str, ...]) -> str:
+    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts))
+    full = "regexp_replace(heading || chr(10) || content, '^\\s+|\\s+$', '', 'g')"
+    return f"""WITH {_FONT_CHUNKS}, q AS (SELECT query_id, term, {_VECTOR.format("term")} AS v FROM (VALUES {values}) AS t(query_id, term)),
+c AS (SELECT *, {_VECTOR.format(full)} AS v FROM chunks),
+hits AS (SELECT query_id, doc_id, chunk_id, {_COS_V} AS score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY {_COS_V} DESC, chunk_id) AS rank FROM c, q)"""
+
+
+def extract_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's definitions section by retrieval among its own chunks, with vectors that have no meaning."""
+    found = extract_plan.extract_definitions(_chunks(spark, sf_dir), vectors.digest_embedder())
+    return _pages_text(found, "pages").select("doc_id", F.col("anchor_id").cast("long").alias("anchor_id"), "heading", "content", "pages")
+
+
+SQL["extract_definitions"] = _asked(extract_plan.DEFINITION_QUERIES) + r""",
+s AS (SELECT doc_id, chunk_id AS anchor_id, heading AS a_heading, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN regexp_matches(trim(heading), '^\d+') THEN 2.0::DOUBLE ELSE 0 END + least(length(content) / 500::DOUBLE, 3) - CASE WHEN length(content) < 100 THEN 2.0 ELSE 0 END DESC, start_page, chunk_id) AS n
+FROM chunks SEMI JOIN (SELECT * FROM hits WHERE rank <= 10) USING (doc_id, chunk_id)),
+t AS (SELECT c.*, anchor_id, a_heading, nullif(regexp_extract(trim(heading), '^(\d+)[\.\s]', 1), '') AS top, nullif(regexp_extract(trim(a_heading), '^(\d+)[\.\s]', 1), '') AS a_top FROM chunks c JOIN (SELECT * FROM s WHERE n = 1) USING (doc_id)),
+w AS (SELECT *, min(CASE WHEN chunk_id > anchor_id AND (coalesce(top <> a_top, false) OR (top IS NULL AND heading <> '' AND heading NOT LIKE '(%' AND length(trim(heading)) < 80 AND chunk_id > anchor_id + 1)) THEN chunk_id END) OVER (PARTITION BY doc_id) AS hi FROM t)
+SELECT doc_id, anchor_id, any_value(a_heading) AS heading, string_agg(regexp_replace(heading || chr(10) || content, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY chunk_id) AS content,
+array_to_string(list_sort(list_distinct(flatten(list(pages)))), ',') AS pages FROM w WHERE chunk_id >= anchor_id AND (hi IS NULL OR chunk_id < hi) GROUP BY doc_id, anchor_id"""
+
+
+def section_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document searched by itself."""
+    index = extract_plan.SectionIndex(C.with_parent_heading(_chunks(spark, sf_dir)), vectors.digest_embedder())
+    found = _pages_text(index.search("Interest Rate"), "pages")
+    return found.select("doc_id", "heading", "content", "pages", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
+
+
+SQL["section_index_search"] = _asked(("Interest Rate",)) + rf""",
+a AS (SELECT doc_id, chunk_id AS anchor_id, heading AS a_heading FROM hits JOIN chunks USING (doc_id, chunk_id) WHERE rank = 1),
+j AS (SELECT c.*, anchor_id, a_heading FROM chunks c JOIN a USING (doc_id)),
+s AS (SELECT *, min(CASE WHEN heading = a_heading THEN chunk_id END) OVER (PARTITION BY doc_id) AS s0 FROM j),
+e AS (SELECT *, min(CASE WHEN heading <> a_heading AND chunk_id > s0 AND ({_ANY_LEVEL.format("heading")}) <= ({_ANY_LEVEL.format("a_heading")}) THEN chunk_id END) OVER (PARTITION BY doc_id) AS hi FROM s)
+SELECT doc_id, any_value(a_heading) AS heading, string_agg(content, chr(10) || chr(10) ORDER BY start_page, chunk_id) AS content, array_to_string(list_sort(list_distinct(flatten(list(pages)))), ',') AS pages,
+string_agg(chunk_id::VARCHAR, ',' ORDER BY start_page, chunk_id) AS chunk_ids FROM e WHERE chunk_id >= s0 AND (hi IS NULL OR chunk_id < hi) GROUP BY doc_id"""
+
+
+def extract_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section that a query names, for each document. Its candidates, verification and choice are tested by brute force."""
+    chunks = C.with_parent_heading(_chunks(spark, sf_dir))
+    found = extract_plan.extract_section(chunks, "the", vectors.digest_embedder(), Rules())
+    return _pages_text(found, "pages").select("doc_id", "heading", "content", "pages", F.col("chunk_id").cast("long").alias("chunk_id"), "verified", "output")
+
+
 _TERMS = ("er", "the", "sch", "que", "ing")
 
 
@@ -431,45 +447,43 @@ SELECT doc_id, heading, pages, terms, excerpt, row_number() OVER (PARTITION BY d
 
 
 def form_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is a field and a section, but not its own."""
     rows = _embeddings(spark, sf_dir)
-    heads = rows.filter("key % 10 = 0").withColumn("heading", F.concat(F.lit("Heading "), F.col("key").cast("string")))
-    fields = rows.filter("key % 10 = 1").select(F.col("key").alias("seq"), F.concat(F.lit("f"), F.col("key").cast("string")).alias("name"), (F.col("label").cast("string")).alias("value"), "vector")
-    texts = rows.filter("key % 10 = 0").select("key", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"))
-    out = form_plan.check_fields(fields, heads, texts, Rules())
+    heads = rows.withColumn("heading", F.concat(F.lit("Heading "), F.col("key").cast("string")))
+    fields = rows.select(F.col("key").alias("seq"), F.concat(F.lit("f"), F.col("key").cast("string")).alias("name"), (F.col("label").cast("string")).alias("value"), "vector")
+    texts = rows.select("key", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"))
+    out = form_plan.check_fields(fields, heads, texts, Rules(), without_self=True)
     return out.select("seq", "name", F.col("section_key").cast("string").alias("section_key"), T.match_label("match").alias("result"))
 
 
 SQL["form_route"] = f"""WITH h AS (SELECT q.vec_id AS seq, 'f' || q.vec_id AS name, q.label AS value, e.vec_id AS section_key, e.label AS text_label, {_COS} AS score,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings q, embeddings e WHERE q.vec_id % 10 = 1 AND e.vec_id % 10 = 0)
+row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings q, embeddings e WHERE q.vec_id <> e.vec_id)
 SELECT seq, name, section_key::VARCHAR AS section_key, CASE WHEN score < 0.45 THEN 'Unmatched' WHEN contains('label ' || text_label, value::VARCHAR) THEN 'Match' ELSE 'Deviation' END AS result FROM h WHERE r = 1"""
 
 
-def form_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """form_route takes a part of the rows as fields and sections, as does its SQL; here every row is a field and a section, but not its own."""
-    rows = _embeddings(spark, sf_dir)
-    heads = rows.withColumn("heading", F.concat(F.lit("Heading "), F.col("key").cast("string")))
-    fields = rows.select(F.col("key").alias("seq"), F.concat(F.lit("f"), F.col("key").cast("string")).alias("name"), (F.col("label").cast("string")).alias("value"), "vector")
-    texts = rows.select("key", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"))
-    out = form_plan.check_fields(fields, heads, texts, Rules(), without_self=True)
-    return out.select("seq", "name", F.col("section_key").cast("string").alias("section_key"), T.match_label("match").alias("result"))
+def _pages_with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every row is a page: one in twenty of the compared document, the others of the base document; a row without text is an empty page."""
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    rows = _embeddings(spark, sf_dir).join(texts, "key", "left").withColumn("content", F.coalesce("content", F.lit(""))).withColumn("page", (F.col("key") % 50 + 1).cast("int")).withColumn("pair", F.col("label"))
+    return rows.filter("key % 20 = 0").withColumnRenamed("key", "item_no"), rows.filter("key % 20 <> 0")
 
 
-SQL["form_route_all"] = SQL["form_route"].replace("q.vec_id % 10 = 1 AND e.vec_id % 10 = 0", "q.vec_id <> e.vec_id")
+def _compared(out: DataFrame) -> DataFrame:
+    return out.select("item_no", "section", F.col("base_page").cast("long").alias("base_page"), F.col("compare_page").cast("long").alias("compare_page"), "base_paragraph", "deviation", "deviation_type", F.col("score").cast("long").alias("score"), "severity", "comments")
 
 
 def compare_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"), F.lit(1).alias("page"))
-    rows = _embeddings(spark, sf_dir).join(texts, "key").withColumn("page", (F.col("key") % 50 + 1).cast("int"))
-    items = rows.filter("key % 20 = 0").select(F.col("key").alias("item_no"), "page", "content", "vector")
-    base = rows.filter("key % 20 <> 0").select("key", "page", "content", "vector")
-    out = compare_plan.compare_pages(items, base, Rules())
-    return out.select("item_no", "section", F.col("base_page").cast("long").alias("base_page"), F.col("compare_page").cast("long").alias("compare_page"), "base_paragraph", "deviation", "deviation_type", F.col("score").cast("long").alias("score"), "severity", "comments")
+    items, base = _pages_with_vectors(spark, sf_dir)
+    return _compared(compare_plan.compare_pages(items, base, Rules()))
 
 
-SQL["compare_pages"] = rf"""WITH r AS (SELECT vec_id, embedding, text, vec_id % 50 + 1 AS page FROM embeddings JOIN documents ON doc_id = vec_id),
-h AS (SELECT q.vec_id AS item_no, q.page AS compare_page, q.text AS ct, e.page AS bp, e.text AS bt, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM r q, r e WHERE q.vec_id % 20 = 0 AND e.vec_id % 20 <> 0),
-c AS (SELECT *, regexp_replace(bt, '^\s+|\s+$', '', 'g') AS st, len(string_split_regex(regexp_replace(ct, '^\s+|\s+$', '', 'g'), '\s+')) >= 5 AS needs FROM h WHERE r = 1),
-d AS (SELECT *, needs AND score >= 0.5 AS sure, trim(regexp_replace(st, '\s+', ' ', 'g')) <> trim(regexp_replace(ct, '\s+', ' ', 'g')) AS differs FROM c),
+def _compare_sql(pair: str) -> str:
+    return rf"""WITH r AS (SELECT vec_id, embedding, label, coalesce(text, '') AS text, vec_id % 50 + 1 AS page FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+h AS (SELECT q.vec_id AS item_no, q.page AS compare_page, q.text AS ct, e.page AS bp, e.text AS bt, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM r q, r e WHERE q.vec_id % 20 = 0 AND e.vec_id % 20 <> 0{pair}),
+a AS (SELECT vec_id AS item_no, page AS compare_page, text AS ct, bp, bt, score FROM r LEFT JOIN (SELECT * FROM h WHERE r = 1) ON item_no = vec_id WHERE vec_id % 20 = 0),
+c AS (SELECT *, regexp_replace(bt, '^\s+|\s+$', '', 'g') AS stripped, len(string_split_regex(regexp_replace(ct, '^\s+|\s+$', '', 'g'), '\s+')) >= 5 AS needs FROM a),
+w AS (SELECT *, CASE WHEN stripped <> '' THEN stripped ELSE bt END AS st FROM c),
+d AS (SELECT *, coalesce(needs AND score >= 0.5, false) AS sure, trim(regexp_replace(st, '\s+', ' ', 'g')) <> trim(regexp_replace(ct, '\s+', ' ', 'g')) AS differs FROM w),
 f AS (SELECT *, sure AND differs AS dev, CASE WHEN length(ct) > length(st) THEN 'addition' WHEN length(ct) < length(st) THEN 'omission' ELSE 'modification' END AS kind,
   least(5, 1 + floor(abs(length(st) - length(ct)) / greatest(length(st), length(ct), 1)::DOUBLE * 5))::BIGINT AS sc,
   coalesce(nullif(rtrim(regexp_extract(st, '^(\d+(?:\.\d+)+\.?|\d+\.)\s*(.*)', 1), '.'), ''), 'N/A') AS sec FROM d)
@@ -478,6 +492,18 @@ CASE WHEN dev THEN kind ELSE 'none' END AS deviation_type, CASE WHEN dev THEN sc
 CASE WHEN dev THEN kind || ': ' || length(st) || ' and ' || length(ct) || ' characters' END AS comments FROM f"""
 
 
+SQL["compare_pages"] = _compare_sql("")
+
+
+def compare_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many pairs of documents at once, one for each label; each is compared within itself."""
+    items, base = _pages_with_vectors(spark, sf_dir)
+    return _compared(compare_plan.compare_pages(items, base, Rules(), by="pair"))
+
+
+SQL["compare_pairs"] = _compare_sql(" AND q.label = e.label")
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     toxic = F.col("toxic") == 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import vectors
 from quillon.plans import queries
 
-GATHERED = ["gather_section_all", "gather_section_v1_all", "walk_from_anchor_all", "search_section_all", "merged_sections_all"]
+GATHERED = ["gather_section", "gather_section_v1", "walk_from_anchor", "search_section", "merged_sections"]
 
 
 @pytest.fixture(scope="module")
@@ -45,15 +45,15 @@ def test_every_row_is_a_field_and_a_section(spark, tmp_path):
     at[7], at[51] = at[3], at[3]  # ties go to the least key
     rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(at)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = queries.form_route_all(spark, str(tmp_path)).collect()
+    found = queries.form_route(spark, str(tmp_path)).collect()
     unit = at / np.linalg.norm(at, axis=1, keepdims=True)
     score = np.round(unit @ unit.T, 6)
     np.fill_diagonal(score, -2)
     near = score.argmax(1)
     told = lambda i: "Unmatched" if score[i, near[i]] < 0.45 else "Match" if i % 3 == near[i] % 3 else "Deviation"
     assert sorted((r.seq, r.section_key, r.result.split()[-1]) for r in found) == [(i, str(near[i]), told(i)) for i in range(130)]
-    columns, want = sql_rows(str(tmp_path), "form_route_all", "embeddings")
-    assert sorted(map(tuple, queries.form_route_all(spark, str(tmp_path)).select(*columns).collect())) == want
+    columns, want = sql_rows(str(tmp_path), "form_route", "embeddings")
+    assert sorted(map(tuple, queries.form_route(spark, str(tmp_path)).select(*columns).collect())) == want
 
 
 def test_largest_are_in_order_of_place_on_ties():
