@@ -6,6 +6,7 @@ itself, in Arrow batches, so there is no shuffle.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -81,6 +82,22 @@ def split_column(rows: DataFrame, column: str, splitter: Splitter, out: str = "p
     return rows.withColumn(out, pieces(F.col(column)))
 
 
+def token_measure(file: str) -> Callable[[str], int]:
+    """Counts tokens with a vocabulary file of the tokenizers library, which every executor must have at that path."""
+
+    def count(text: str) -> int:
+        return len(_vocabulary(file).encode(text, add_special_tokens=False).ids)
+
+    return count
+
+
+@functools.cache
+def _vocabulary(file: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(file)
+
+
 def chunk_sections(sections: DataFrame, size: int = SECTION_CHARS, overlap: int = SECTION_OVERLAP) -> DataFrame:
     """sections (doc_id, key, ord, text, ...) with long texts in pieces, under keys that count them; other columns go with each piece.
 

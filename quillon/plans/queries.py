@@ -21,6 +21,7 @@ from quillon.plans import extract as extract_plan
 from quillon.plans import form_check as form_plan
 from quillon.plans import report, self_rag
 from quillon.sources import blocks as B
+from quillon.sources import files as file_sources
 
 SQL: dict[str, str] = {}
 
@@ -600,6 +601,177 @@ def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.chunk_sections(docs, 2000, 100).select("doc_id", "key", "piece", F.length("text").alias("chars"))
 
 
+def named_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections under named headings (schedules, annexes), from every chunk."""
+    rows = _lines(spark, sf_dir)
+    mark = F.when(F.col("seq") % 9 == 4, F.concat(F.when(F.col("seq") % 2 == 0, "Schedule ").otherwise("Annex "), (F.floor(F.col("seq") / 27) + 1).cast("string"), F.lit(" "))).otherwise("")
+    blocks = rows.select("doc_id", "seq", "page", F.concat(mark, F.substring("line", 1, 60)).alias("text"), F.lit(12.0).alias("font_size"), (F.col("seq") % 9 == 4).alias("is_bold"))
+    chunks = C.chunk_by_section(C.detect_headings(blocks))
+    return _gathered(gather.gather_full_section(chunks, _anchors(chunks)))
+
+
+SQL["named_sections"] = rf"""WITH {_LINES}, marked AS (SELECT doc_id, seq, page, seq % 9 = 4 AS is_heading, CASE WHEN seq % 9 = 4 THEN CASE WHEN seq % 2 = 0 THEN 'Schedule ' ELSE 'Annex ' END || (seq // 27 + 1) || ' ' ELSE '' END || left(line, 60) AS text FROM lines),
+runs AS (SELECT *, sum(is_heading::INT) OVER ({_ORDERED}) AS run FROM marked),
+grouped AS (SELECT doc_id, run, coalesce(max(CASE WHEN is_heading THEN text END), '') AS heading FROM runs GROUP BY doc_id, run),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS chunk_id, heading AS base, lower(nullif(regexp_extract(heading, '^(?i)(schedule|annex|appendix|exhibit|attachment|part)\s+(\w+)', 1), '')) AS kind,
+  lower(nullif(regexp_extract(heading, '^(?i)(schedule|annex|appendix|exhibit|attachment|part)\s+(\w+)', 2), '')) AS own FROM grouped),
+j AS (SELECT c.*, a.chunk_id AS anchor_id, a.base AS a_base, a.kind AS a_kind, a.own AS a_own FROM chunks c JOIN chunks a USING (doc_id)),
+w AS (SELECT *, min(CASE WHEN chunk_id > anchor_id AND kind = a_kind AND own <> a_own THEN chunk_id END) OVER x AS hi, max(CASE WHEN chunk_id < anchor_id AND base <> a_base THEN chunk_id END) OVER x AS lo FROM j WINDOW x AS (PARTITION BY doc_id, anchor_id))
+SELECT doc_id, anchor_id, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk, count(*) AS chunks FROM w
+WHERE CASE WHEN a_kind IS NOT NULL THEN chunk_id > coalesce(lo, -1) AND (hi IS NULL OR chunk_id < hi) ELSE base = a_base END GROUP BY doc_id, anchor_id"""
+
+
+def heading_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval hits, and the headings that contain a term, which were not hit."""
+    chunks = _chunks(spark, sf_dir).withColumn("chunk_key", F.col("doc_id") * 1000 + F.col("chunk_id"))
+    terms = spark.createDataFrame([*enumerate(_TERMS)], "query_id int, term string")
+    hits = chunks.filter("heading_level = 1").select((F.col("chunk_id") % 5).alias("query_id"), "chunk_key", F.lit(0.5).alias("score"))
+    found = vectors.with_heading_matches(hits, vectors.heading_matches(chunks, terms, key="chunk_key"), "chunk_key")
+    return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("chunk_key").cast("long").alias("chunk_key"), "score")
+
+
+SQL["heading_hits"] = f"""WITH {_FONT_CHUNKS}, t AS (SELECT i - 1 AS query_id, {list(_TERMS)!r}[i] AS term FROM range(1, {len(_TERMS) + 1}) AS r(i)),
+h AS (SELECT chunk_id % 5 AS query_id, doc_id * 1000 + chunk_id AS chunk_key, 0.5::DOUBLE AS score FROM chunks WHERE {_LEVEL_SQL} = 1),
+m AS (SELECT query_id, doc_id * 1000 + chunk_id AS chunk_key, 1.0::DOUBLE AS score FROM chunks, t WHERE contains(lower(heading), lower(term)))
+SELECT * FROM h UNION ALL SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = m.query_id AND h.chunk_key = m.chunk_key)"""
+
+
+def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first chunk of each heading, then what retrieval ranks, each once; and the first that is verified, or else the last."""
+    chunks = _chunks(spark, sf_dir)
+    named = vectors.unique_headings(chunks).filter("heading_level = 2").select("doc_id", "chunk_id", F.col("chunk_id").alias("rank"))
+    semantic = chunks.select("doc_id", "chunk_id", (1000 - F.col("chunk_id")).alias("rank"))
+    order = vectors.candidate_list(named, semantic)
+    first = vectors.first_verified(order.withColumn("verified", F.col("chunk_id") % 4 == 2)).select("doc_id", F.col("chunk_id").alias("first"))
+    return order.join(first, "doc_id").select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_id", "rank", "first")))
+
+
+SQL["ranked_candidates"] = rf"""WITH {_FONT_CHUNKS}, b AS (SELECT doc_id, chunk_id, {_LEVEL_SQL} AS level, trim(regexp_replace(heading, '\s*\(part \d+\)\s*$', '')) AS base FROM chunks),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY chunk_id) AS n FROM b WHERE base <> '') WHERE n = 1 AND level = 2),
+p AS (SELECT doc_id, chunk_id, min({{'side': side, 'rank': rank}}) AS place FROM (SELECT doc_id, chunk_id, 0 AS side, chunk_id AS rank FROM u UNION ALL SELECT doc_id, chunk_id, 1, 1000 - chunk_id FROM chunks) GROUP BY ALL),
+o AS (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, chunk_id) AS rank FROM p),
+f AS (SELECT doc_id, chunk_id AS first FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id % 4 <> 2, CASE WHEN chunk_id % 4 = 2 THEN rank ELSE -rank END) AS n FROM o) WHERE n = 1)
+SELECT doc_id, chunk_id, rank, first FROM o JOIN f USING (doc_id)"""
+
+
+def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different rows that any query hit, and the first hit of each base key in order of rank."""
+    rows = _embeddings(spark, sf_dir)
+    store = rows.withColumn("key", F.format_string("K%06d [%d/5]", F.floor(F.col("key") / 5), F.col("key") % 5 + 1))
+    hits = vectors.top_k(store, rows.filter("key % 100 = 0").select(F.col("key").alias("query_id"), "vector"), 10)
+    seen = vectors.first_seen(hits, store.withColumn("start_page", F.lit(1)), "key").select(F.lit(-1).cast("long").alias("query_id"), "key", F.lit(0).cast("long").alias("rank"))
+    return seen.unionByName(vectors.deduplicate(hits, by="query_id").select("query_id", "key", F.col("rank").cast("long").alias("rank")))
+
+
+SQL["first_hits"] = f"""WITH h AS (SELECT * FROM (SELECT q.vec_id AS query_id, printf('K%06d [%d/5]', e.vec_id // 5, e.vec_id % 5 + 1) AS key, e.vec_id // 5 AS base,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, printf('K%06d [%d/5]', e.vec_id // 5, e.vec_id % 5 + 1)) AS r FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE r <= 10)
+SELECT DISTINCT -1::BIGINT AS query_id, key, 0::BIGINT AS rank FROM h
+UNION ALL SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, base ORDER BY r) AS n FROM h) WHERE n = 1"""
+
+
+def toc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a decision about contents is shown: the beginnings of the first pages."""
+    rows = _lines(spark, sf_dir).select("doc_id", "seq", "page", F.col("line").alias("text"))
+    return C.toc_candidates(rows).withColumn("page", F.col("page").cast("long"))
+
+
+SQL["toc_pages"] = f"""WITH {_LINES}, p AS (SELECT doc_id, page, left(string_agg(line, chr(10) ORDER BY seq), 500) AS preview, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS n FROM lines GROUP BY doc_id, page)
+SELECT doc_id, page, preview FROM p WHERE n <= 15"""
+
+
+def strike_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of any colour near the middle of a word, and the words that no line meets."""
+    drawings, words, _ = _shapes(spark, sf_dir)
+    lines = strikes.strike_lines(drawings, words, "any", near=2.0)
+    left = strikes.words_without_strikes(words, lines)
+    shown = lambda df, kind, c: df.select("doc_id", F.col("page").cast("long").alias("page"), F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
+    return shown(lines, "line", "drawing_id").unionByName(shown(left, "word", "seq"))
+
+
+SQL["strike_options"] = """WITH li AS (SELECT l_orderkey // 40 AS doc_id, l_linenumber AS page, l_orderkey, l_partkey, l_suppkey, l_quantity::DOUBLE * 8 AS x0, (l_partkey % 40) * 3.0::DOUBLE AS y0 FROM lineitem),
+d AS (SELECT doc_id, page, l_orderkey AS id, x0, y0 + 4 AS y0, x0 + 60 AS x1, y0 + 5 AS y1 FROM li WHERE l_suppkey % 3 = 0),
+b AS (SELECT doc_id, page, l_orderkey * 1000000 + l_partkey AS id, x0, y0, x0 + 30 AS x1, y0 + 10 AS y1 FROM li WHERE l_suppkey % 3 <> 0),
+s AS (SELECT * FROM d WHERE EXISTS (SELECT 1 FROM b WHERE b.doc_id = d.doc_id AND b.page = d.page AND b.x0 < d.x1 AND d.x0 < b.x1 AND b.y0 < d.y1 AND d.y0 < b.y1 AND abs((d.y0 + d.y1) / 2 - (b.y0 + b.y1) / 2) < 2))
+SELECT doc_id, page::BIGINT AS page, 'line' AS kind, id FROM s
+UNION ALL SELECT doc_id, page::BIGINT, 'word', id FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE b.doc_id = s.doc_id AND b.page = s.page AND b.x0 < s.x1 AND s.x0 < b.x1 AND b.y0 < s.y1 AND s.y0 < b.y1)"""
+
+
+def paragraphs_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw blocks as paragraphs in reading order, which runs against the block numbers here."""
+    raw = _lines(spark, sf_dir).select("doc_id", (F.col("page") - 1).alias("page_index"), F.col("seq").alias("block_no"), (F.col("seq") % 11 == 10).cast("int").alias("kind"), F.col("line").alias("text"), (-F.col("seq")).cast("double").alias("y0"), F.lit(0.0).alias("x0"))
+    return B.load_paragraphs(raw).select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("page").cast("long").alias("page"), "text")
+
+
+SQL["paragraphs_in_order"] = f"WITH {_LINES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, seq DESC) - 1 AS seq, page, line AS text FROM lines WHERE seq % 11 <> 10 AND length(line) > 30"
+
+
+def blocks_from_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with fonts from spans: each word of a line is a span, three lines are a block."""
+    spans = _lines(spark, sf_dir).select("doc_id", (F.col("page") - 1).alias("page_index"), F.floor(F.col("seq") / 3).alias("block_no"), F.col("seq").alias("line_no"), F.posexplode(F.split("line", " ")).alias("span_no", "text"))
+    spans = spans.withColumn("size", (10 + F.col("span_no") % 4).cast("double")).withColumn("font", F.when(F.col("line_no") % 5 == 0, "Arial-BoldMT").otherwise("Arial"))
+    boxed = spans.select("*", *(F.col("line_no").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    found = B.structured_blocks(boxed)
+    return found.select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("page").cast("long").alias("page"), "text", "font_size", "is_bold", F.col("bbox.y0").alias("top"), F.col("bbox.y1").alias("bottom"))
+
+
+SQL["blocks_from_spans"] = f"""WITH {_LINES}, b AS (SELECT doc_id, page, seq // 3 AS block_no, string_agg(replace(line, ' ', ''), chr(10) ORDER BY seq) AS text, max(10 + least(len(string_split(line, ' ')) - 1, 3))::DOUBLE AS font_size,
+bool_or(seq % 5 = 0) AS is_bold, min(seq)::DOUBLE AS top, max(seq)::DOUBLE AS bottom FROM lines GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, block_no) - 1 AS seq, page, text, font_size, is_bold, top, bottom FROM b WHERE text <> ''"""
+
+
+def fallback_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form fields from cells, and for documents without any from the answer to a prompt, here its first characters."""
+    o = _table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    rows = o.select((key % 100).alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), key.alias("row_no"), F.posexplode(F.array(F.concat(F.lit("Field "), key.cast("string")), F.col("o_orderstatus"))).alias("col_no", "text"))
+    blocks = o.select((key % 100).alias("doc_id"), key.alias("seq"), "o_orderpriority").withColumnRenamed("o_orderpriority", "text")
+    answer = lambda prompt: F.array(F.struct(F.lit("prompt").alias("name"), F.substring(prompt, 1, 20).alias("value"), F.lit(None).cast("int").alias("page")))
+    found = B.form_fields_with_fallback(rows.filter("doc_id % 3 = 0"), blocks, answer)
+    return found.select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("page").cast("long").alias("page"), "name", "value")
+
+
+SQL["fallback_fields"] = """SELECT o_orderkey % 100 AS doc_id, row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderkey) - 1 AS seq, 1::BIGINT AS page, 'Field ' || o_orderkey AS name, o_orderstatus AS value FROM orders WHERE o_orderkey % 100 % 3 = 0
+UNION ALL SELECT o_orderkey % 100, 0, 1, 'prompt', left(string_agg(o_orderpriority, chr(10) ORDER BY o_orderkey), 20) FROM orders WHERE o_orderkey % 100 % 3 <> 0 GROUP BY o_orderkey % 100"""
+
+
+def relabelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """If any label of a comparison is too long all of its labels are given anew; items that break an invariant are found."""
+    items = _items(spark, sf_dir).withColumn("pair", F.col("item_no") % 40).withColumn("section", F.substring("base_paragraph", 1, F.lit(10) + (F.col("item_no") % 44).cast("int")))
+    fixed = compare_plan.fix_section_labels(items, F.upper, ["pair"]).withColumn("comments", F.when(F.col("item_no") % 3 != 0, F.col("comments")))
+    problems = compare_plan.item_problems(fixed).select("item_no", "problem")
+    return fixed.join(problems, "item_no", "left").select("item_no", "section", "problem")
+
+
+SQL["relabelled_items"] = """WITH i AS (SELECT doc_id AS item_no, doc_id % 40 AS pair, left(text, (10 + doc_id % 44)::INT) AS section, toxic = 1 AS dev FROM documents JOIN labels USING (doc_id)),
+l AS (SELECT *, max(length(section)) OVER (PARTITION BY pair) > 50 AS long FROM i)
+SELECT item_no, CASE WHEN long THEN upper(left(section, 120)) ELSE section END AS section, CASE WHEN dev AND item_no % 3 = 0 THEN 'a deviation has no comments' END AS problem FROM l"""
+
+
+def sections_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections as one JSON object for each document, as it would be parsed again."""
+    made = file_sources.keyed_json(sections.parse_sections(_numbered(_lines(spark, sf_dir))).select("doc_id", "key", "ord", "text"))
+    entries = made.select("doc_id", F.explode(F.from_json("json", "map<string,string>")).alias("key", "text"))
+    return entries.select("doc_id", "key", F.length("text").cast("long").alias("chars"))
+
+
+SQL["sections_as_json"] = f"SELECT doc_id, key, length(text) AS chars FROM ({_sections_sql('number')})"
+
+
+def whole_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against itself without its first line, in one prompt; too long prompts are reported."""
+    rows = _lines(spark, sf_dir).select("doc_id", "seq", "page", F.lit("S").alias("section"), F.col("line").alias("text"))
+    found = compare_plan.compare_whole(rows.filter("seq > 0"), rows, Rules(), 2000)
+    return found.select("doc_id", F.col("item_no").cast("long").alias("item_no"), F.col("compare_page").cast("long").alias("page"), F.col("compare_paragraph").alias("text"), F.col("problem").isNotNull().alias("too_long"))
+
+
+SQL["whole_comparisons"] = f"""WITH {_LINES}, p AS (SELECT doc_id, seq, page, line, '(p.' || page || ' | §S) ' || line AS shown FROM lines),
+c AS (SELECT doc_id, greatest(1, (sum(length('[' || (n - 1) || '] ' || shown)) + 2 * (count(*) - 1))::BIGINT // 4) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM p) GROUP BY doc_id),
+b AS (SELECT doc_id, greatest(1, (sum(length('[' || (n - 1) || '] ' || shown)) + 2 * (count(*) - 1))::BIGINT // 4) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM p WHERE seq > 0) GROUP BY doc_id),
+t AS (SELECT doc_id, b.tokens + c.tokens <= 1700 AS fits FROM b JOIN c USING (doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS item_no, page, line AS text, false AS too_long FROM p JOIN t USING (doc_id) WHERE fits AND NOT EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.seq > 0 AND q.line = p.line)
+UNION ALL SELECT doc_id, NULL, NULL, NULL, true FROM t WHERE NOT fits"""
+
+
 _NOT_QUERIES = {"queries", "oracle_sql"}
 
 
