@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.durable import durable, remove, shared_folder
+
+__all__ = ["NO_ID", "BATCH_ROWS", "table", "tune", "shared_folder", "durable", "remove", "unused", "texts_of", "as_large_text", "bytes_and_offsets", "slices"]
+
 #: Stands for a null id where a key must not be null.
 NO_ID = -(2**63)
 #: Rows in an Arrow batch, so that long texts do not add up in a Python worker.
@@ -25,29 +27,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only in local mode, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-"))
-    return sc.getCheckpointDir()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in a file system that Spark can write, if it is there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files in the shared folder, which outlive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def unused(docs: DataFrame, *names: str) -> list[str]:
     """The names, with underscores after those that docs has a column of."""
     taken, out = {c.lower() for c in docs.columns}, []
