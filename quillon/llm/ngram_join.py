@@ -519,7 +519,8 @@ def _grouped(docs: DataFrame, rule: Rule, block_shingles: int, count_links: bool
     links = durable(_links(laid, rule, count_links))
     linked = components(links.filter("b is not null")).select(F.col("node").alias("cid"), "component")
     of_class = classes.select("high", "low", "cid", "least", "copies").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Durable, so that a hot component's rows can be split where they meet its least id.
+    least = durable(of_class.groupBy("component").agg(F.min("least").alias("component_id")))
     if count_links:
         counted = links.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
         of_class = of_class.join(counted, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
