@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.durable import ranked
 from quillon.functions import text as T
 from quillon.operators.vectors import heading_matches, top_k, with_heading_matches
 
@@ -25,8 +26,9 @@ def gather_relevant(hits: DataFrame, terms: DataFrame, threshold: float = THRESH
     rows = hits.filter(F.col("score") >= threshold).join(F.broadcast(terms.select("query_id", "term", *within)), "query_id")
     merged = rows.groupBy(*within, key).agg(F.max("score").alias("best"), F.array_sort(F.collect_set("term")).alias("terms"))
     merged = merged.withColumn("score", F.col("best") * F.sqrt(F.size("terms")))
-    order = Window.partitionBy(*within).orderBy(F.desc("score"), key) if within else Window.orderBy(F.desc("score"), key)
-    return merged.withColumn("rank", F.row_number().over(order))
+    if not within:
+        return ranked(merged, "rank", F.desc("score"), F.col(key))
+    return merged.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("score"), key)))
 
 
 def collate(ranked: DataFrame, chunks: DataFrame, most: int = MOST_CHUNKS, key: str = "chunk_id", by: list[str] | None = None) -> DataFrame:
@@ -43,6 +45,7 @@ def collate(ranked: DataFrame, chunks: DataFrame, most: int = MOST_CHUNKS, key:
     out = rows.groupBy(*within, F.col("section").alias("heading")).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("matched_terms"), excerpt.alias("excerpt"), F.min("first").alias("first_page"), F.min("rank").alias("_rank"),
     )
+    # Without by there are at most as many sections as chunks that were let through.
     order = Window.partitionBy(*within).orderBy("first_page", "_rank") if within else Window.orderBy("first_page", "_rank")
     return out.withColumn("ord", F.row_number().over(order)).drop("_rank")
 

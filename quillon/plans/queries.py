@@ -598,7 +598,7 @@ SELECT doc_id, key, length(coalesce(b.text, a.text)) AS chars FROM a FULL JOIN b
 
 def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.lit(0).alias("ord"), "text")
-    return split.chunk_sections(docs, 2000, 100).select("doc_id", "key", "piece", F.length("text").alias("chars"))
+    return split.chunk_sections(docs).select("doc_id", "key", "piece", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 def named_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -737,14 +737,14 @@ UNION ALL SELECT o_orderkey % 100, 0, 1, 'prompt', left(string_agg(o_orderpriori
 def relabelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """If any label of a comparison is too long all of its labels are given anew; items that break an invariant are found."""
     items = _items(spark, sf_dir).withColumn("pair", F.col("item_no") % 40).withColumn("section", F.substring("base_paragraph", 1, F.lit(10) + (F.col("item_no") % 44).cast("int")))
-    fixed = compare_plan.fix_section_labels(items, F.upper, ["pair"]).withColumn("comments", F.when(F.col("item_no") % 3 != 0, F.col("comments")))
+    fixed = compare_plan.fix_section_labels(items, lambda t: F.concat(F.lit("new: "), t), ["pair"]).withColumn("comments", F.when(F.col("item_no") % 3 != 0, F.col("comments")))
     problems = compare_plan.item_problems(fixed).select("item_no", "problem")
     return fixed.join(problems, "item_no", "left").select("item_no", "section", "problem")
 
 
 SQL["relabelled_items"] = """WITH i AS (SELECT doc_id AS item_no, doc_id % 40 AS pair, left(text, (10 + doc_id % 44)::INT) AS section, toxic = 1 AS dev FROM documents JOIN labels USING (doc_id)),
 l AS (SELECT *, max(length(section)) OVER (PARTITION BY pair) > 50 AS long FROM i)
-SELECT item_no, CASE WHEN long THEN upper(left(section, 120)) ELSE section END AS section, CASE WHEN dev AND item_no % 3 = 0 THEN 'a deviation has no comments' END AS problem FROM l"""
+SELECT item_no, CASE WHEN long THEN 'new: ' || left(section, 120) ELSE section END AS section, CASE WHEN dev AND item_no % 3 = 0 THEN 'a deviation has no comments' END AS problem FROM l"""
 
 
 def sections_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:

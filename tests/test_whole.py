@@ -63,3 +63,43 @@ def test_largest_are_in_order_of_place_on_ties():
             score = rng.integers(0, 3, (50, width)).astype(float)
             got = vectors._largest(score, n)
             assert (got == np.argsort(-score, axis=1, kind="stable")[:, :n]).all()
+
+
+def test_split_covers_every_text(spark, tmp_path):
+    """Through the query, with its own parameters: pieces are in order, none is too long, neighbours overlap by no more than allowed, and nothing but white space is left out."""
+    import hashlib
+    import random
+
+    from quillon.operators import split
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 12)))
+    texts = {i: "".join(word() + rng.choice([" ", " ", "\n", "\n\n"]) for _ in range(n)) for i, n in enumerate([0, 5, 2000, 9000, 20000])} | {5: "x" * 50_000, 6: "z" * 21_000, 7: None}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.split_chunks(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.lit(0).alias("ord"), "text")
+    pieces = {}
+    for r in split.chunk_sections(docs).collect():
+        pieces.setdefault(r.doc_id, {})[r.piece] = (r.key, r.text)
+    assert {(r.doc_id, r.piece, r.key, r.digest) for r in found} == {(d, i, k, t and hashlib.md5(t.encode()).hexdigest() if t else (hashlib.md5(b"").hexdigest() if t == "" else None)) for d, own in pieces.items() for i, (k, t) in own.items()}
+    for d, text in texts.items():
+        own = [pieces[d][i] for i in range(len(pieces[d]))]
+        assert [k for k, _ in own] == ([str(d)] if len(own) == 1 else [f"{d} [{i + 1}/{len(own)}]" for i in range(len(own))])
+        if not text:
+            continue
+        end = 0
+        for _, piece in own:
+            assert len(piece) <= split.SECTION_CHARS
+            at = text.find(piece, max(0, end - split.SECTION_OVERLAP))
+            assert at >= 0 and not text[end:at].strip()
+            end = at + len(piece)
+        assert not text[end:].strip()
+
+
+def test_global_ranks(spark):
+    from quillon.durable import ranked
+
+    rows = spark.createDataFrame([(i % 7, i) for i in range(200)], "a int, b int")
+    got = {(r.a, r.b): r.n for r in ranked(rows, "n", F.desc("a"), F.col("b")).collect()}
+    assert got == {(i % 7, i): k + 1 for k, i in enumerate(sorted(range(200), key=lambda i: (-(i % 7), i)))}
+    assert ranked(rows.limit(0), "n", F.col("a")).count() == 0
