@@ -1,14 +1,14 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
 A document's set holds the hashes of its distinct word shingles. Equal sets are one class, so that copies are joined
-once. A set takes part only if num / den of its shingles occur in other documents at all, which is counted first by dealing
-shingles out by ranges of their hashes: passages that many documents share do not bring documents together. Two sets of sizes a <= b with a Jaccard index of at least t have b <= a / t and differ in at most
-D = (1 - t) / (1 + t) * (a + b) shingles. Sizes form bands of ratio t; a tile covers a band and the next one, so every
-pair that can link shares a tile, in which D is bounded. In each of its two tiles a set deals its shingles into
-D + 1 + q parts by hash. A linked pair agrees in at least q + 1 parts, so some part's content is the same on both sides; a
-set that has at most q weak parts (almost no shingle but frequent ones) need not show those. Sets that show
-the same part in the same tile are candidates; clusters of candidates are cut, in order of size, into blocks, and
-pairs of blocks whose sizes can match are the tiles that are worked on, each by one task.
+once. A set takes part only if num / den of its shingles occur in other documents at all (see promising): passages that many
+documents share do not bring documents together. Two sets of sizes a <= b with a Jaccard index of at least t have b <= a / t
+and differ in at most D = (1 - t) / (1 + t) * (a + b) shingles. Sizes form bands of ratio t; a tile covers a band and the next
+one, so every pair that can link shares a tile, in which D is bounded. In each of its two tiles a set deals its shingles into
+D + 1 + q parts by hash. A linked pair agrees in at least q + 1 parts, so some part's content is the same on both sides; a set
+that has at most q weak parts (almost no shingle but frequent ones) need not show those. Sets that show the same part in the
+same tile are candidates, and form clusters. A large cluster's bands are cut into blocks by hash; pairs of blocks of one band or
+of neighbouring ones are the tiles that are worked on, each by one task, whose size is bounded.
 
 In a tile every pair of sets gets an upper bound of its overlap from the bit counts of two bitmaps (a bit in one bitmap and
 not in the other stands for a shingle that is not shared); those that the bound lets through are intersected exactly. What is
@@ -20,20 +20,19 @@ already connected in the tile is left out, as it cannot change the components.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import batched
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.bytescan import NOT_SPACE, U, batches, mix, runs, scan
+from quillon.llm.bytescan import U, batches, mix
 from quillon.llm.components import components
 from quillon.llm.exact_dedup import without_rows
+from quillon.llm.promising import promising
 from quillon.llm.runtime import NO_ID, durable, texts_of, tune, unused
+from quillon.llm.shingles import Rule, Sets, sets_of
 
 #: Shingles in a block of a cluster, and sets; a larger set is a block of its own. The two bound what a task holds and how many pairs it compares.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1000
@@ -47,63 +46,10 @@ COUNTED_DOCS, COUNTED_SHINGLES = 2048, 4_000_000
 #: Members of clusters up to which the table that picks their documents is broadcast (some 60 bytes each).
 BROADCAST_MEMBERS = 300_000
 MOST_BITS = 1 << 16
-#: Documents and shingles that are counted together, shingles that one task compares at a time, and that it gets in all.
-CHUNK_DOCS, CHUNK_SHINGLES, RANGE_SHINGLES, TASK_SHINGLES = 2048, 4_000_000, 1_000_000, 16_000_000
-#: Several ranges for each task, so that tasks get about equal shares.
-RANGES_PER_TASK = 8
 #: Candidates that a task gathers before it leaves out what it knows to belong together.
 HELD_PARTS = 1 << 20
 
 
-class Rule(NamedTuple):
-    """Links at intersection / union >= num / den over shingles of so many words."""
-
-    words: int
-    num: int
-    den: int
-
-    def need(self, total):
-        """The least overlap of two sets whose sizes come to total."""
-        return -(-self.num * total // (self.den + self.num))
-
-    def tiles(self, largest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where bands begin, up to one beyond the largest size, and D of the tile that begins with each band."""
-        starts = [1]
-        while starts[-1] <= largest:
-            starts.append(max(starts[-1] + 1, self.den * (starts[-1] - 1) // self.num + 1))
-        most = []
-        for low, high in zip(starts, [*starts[1:], starts[-1] + 1], strict=True):
-            top = high - 1 + self.den * (high - 1) // self.num
-            totals = np.arange(max(2 * low, top - 2 * (self.den + self.num)), top + 1)  # D grows with the total, but for rounding
-            most.append(int((totals - 2 * self.need(totals)).max()))
-        return np.array(starts), np.array(most)
-
-
-class Sets(NamedTuple):
-    shingles: np.ndarray
-    at: np.ndarray  # set i: at[i] to at[i + 1], sorted
-    high: np.ndarray  # two sums of hashes tell sets apart
-    low: np.ndarray
-
-
-def sets_of(column: pa.Array, words: int) -> Sets:
-    """The set of each text: distinct shingles, or the whole sequence if there are fewer words, or nothing."""
-    w = scan(column, NOT_SPACE)
-    count = np.diff(w.at)
-    first = np.maximum(0, count - words + 1)
-    whole = np.flatnonzero((count > 0) & (first == 0))
-    all_runs, out = runs(w.hash, words), []
-    short = {int(i): mix(runs(w.hash[w.at[i] : w.at[i + 1]], int(count[i])) ^ U(int(count[i]))) for i in whole}
-    for i in range(len(count)):
-        out.append(short[i] if i in short else np.unique(all_runs[w.at[i] : w.at[i] + first[i]]))
-    sizes = np.array([len(x) for x in out], np.int64)
-    shingles = np.concatenate(out) if out else np.zeros(0, U)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    sums = lambda x: np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)])
-    a, b = sums(mix(shingles)), sums(mix(shingles ^ U(0xD6E8FEB86659FD93)))
-    return Sets(shingles, at, a[at[1:]] - a[at[:-1]], b[at[1:]] - b[at[:-1]])
-
-
 def _describe(docs: DataFrame, words: int, more: tuple[str, ...]) -> DataFrame:
     """doc_id, more (long columns), n, high, low of each row; rows with n = -1 have frequent shingles of a task and their counts."""
 
@@ -146,138 +92,6 @@ def _describe(docs: DataFrame, words: int, more: tuple[str, ...]) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*ids, "n", "high", "low"]) + ", frequent array<struct<s:long,c:long>>")
 
 
-def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Pieces of an array that begin at these places, as binary values."""
-    ends = (np.append(at, len(data)) * data.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
-
-
-def _dealt(chunk: int, ranges: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Rows of a chunk; columns are pairs of an array and where each row's part of it begins."""
-    values = [_binary(data, at) for data, at in batched(columns, 2)]
-    return pa.record_batch([pa.array(np.full(len(ranges), chunk, np.int64)), pa.array(ranges, pa.int32()), *values], ["chunk", "r", "steps", "tokens", "keys"])
-
-
-def _steps(owner: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How much each number is above the one before it in its row, in bytes: 255 stands for 255 more to come. And where each number's bytes begin."""
-    step = np.diff(owner, prepend=0)
-    step[rows] = owner[rows]
-    length = step // 255 + 1
-    ends = np.cumsum(length)
-    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
-    out[ends - 1] = step % 255
-    return out, ends - length
-
-
-def _owners(steps: bytes) -> np.ndarray:
-    data = np.frombuffer(steps, np.uint8)
-    return np.cumsum(data, dtype=np.int64)[data != 255]
-
-
-def _chunks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
-    """The shingles of some documents at a time, dealt by hash ranges: the low 32 bits of each, and how far on its document is (see _steps).
-
-    A row with the sets' names and sizes comes with each chunk, under a negative range.
-    """
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            chunk = task << 32 | number
-            keys = np.concatenate([np.stack([s.high, s.low, np.diff(s.at).astype(U)], 1) for s in held])
-            tokens, n = np.concatenate([s.shingles for s in held]), keys[:, 2].astype(np.int64)
-            which = ((tokens >> U(32)) % U(ranges)).astype(np.int64)
-            order = np.argsort(which, kind="stable")
-            which, owner = which[order], np.repeat(np.arange(len(n)), n)[order]
-            # Only ranges that have shingles make rows, so there are never more rows than shingles.
-            rows = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])[: len(which)])
-            steps, ends = _steps(owner, rows)
-            low = (tokens[order] & U(0xFFFFFFFF)).astype(np.uint32)
-            yield _dealt(chunk, which[rows], steps, ends[rows] if len(rows) else rows, low, rows, np.zeros(0, U), np.zeros(len(rows), np.int64))
-            zero = np.zeros(1, np.int64)
-            yield _dealt(chunk, np.array([-1 - chunk % ranges]), np.zeros(0, np.uint8), zero, np.zeros(0, np.uint32), zero, keys.reshape(-1), zero)
-
-        docs_held = 0
-        for batch in parts:
-            for a, b in batches(batch.column("text")):
-                s = sets_of(batch.column("text").slice(a, b - a), words)
-                if held and (docs_held + b - a > CHUNK_DOCS or size + len(s.shingles) > CHUNK_SHINGLES):
-                    yield from done()
-                    number, held, size, docs_held = number + 1, [], 0, 0
-                held.append(s)
-                size, docs_held = size + len(s.shingles), docs_held + b - a
-        if held:
-            yield from done()
-
-    return docs.mapInArrow(run, "chunk long, r int, steps binary, tokens binary, keys binary")
-
-
-def promising(docs: DataFrame, rule: Rule, total: int) -> DataFrame:
-    """high, low of the sets that share so many shingles with other documents, all taken together, that a link is possible at all.
-
-    A set that links with any other shares num / den of its own shingles with it. Shingles are compared by parts of their
-    hashes, which can only make sets seem to share more. total: shingles of all documents.
-    """
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SHINGLES))
-    ranges = max(RANGES_PER_TASK * partitions, -(-total // RANGE_SHINGLES))
-
-    def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> pa.RecordBatch:
-            tokens = [np.frombuffer(h["tokens"], np.uint32) for h in held]
-            ordered = np.sort(np.concatenate(tokens))
-            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            docs, counts = [], []
-            for h, t in zip(held, tokens, strict=True):
-                found = twice[np.minimum(np.searchsorted(twice, t), len(twice) - 1)] == t if len(twice) else np.zeros(len(t), bool)
-                own, n = np.unique(_owners(h["steps"])[found], return_counts=True)
-                docs.append(own.astype(np.uint16).tobytes())
-                counts.append(n.astype(np.uint32).tobytes())
-            return back([h["chunk"] for h in held], [h["r"] for h in held], docs, counts, [b""] * len(held))
-
-        for batch in parts:
-            for h in batch.to_pylist():
-                if held and h["r"] != now:
-                    yield done()
-                    held = []
-                now = h["r"]
-                if now >= 0:
-                    held.append(h)
-                else:
-                    yield back([h["chunk"]], [now], [b""], [b""], [h["keys"]])
-        if held:
-            yield done()
-
-    def back(*columns: list) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["chunk", "r", "docs", "counts", "keys"])
-
-    def judged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, total_shared = None, None
-
-        def done() -> pa.RecordBatch:
-            good = (keys[:, 2] > 0) & (total_shared * U(rule.den) >= keys[:, 2] * U(rule.num))
-            return pa.record_batch([pa.array(keys[good, k].view(np.int64)) for k in (0, 1)], ["high", "low"])
-
-        for batch in parts:
-            for h in batch.to_pylist():
-                if h["r"] < 0:
-                    if keys is not None:
-                        yield done()
-                    keys = np.frombuffer(h["keys"], U).reshape(-1, 3)
-                    total_shared = np.zeros(len(keys), U)
-                else:
-                    total_shared[np.frombuffer(h["docs"], np.uint16)] += np.frombuffer(h["counts"], np.uint32)
-        if keys is not None:
-            yield done()
-
-    dealt = _chunks(docs, rule.words, ranges).repartition(partitions, "r").sortWithinPartitions("r")
-    found = dealt.mapInArrow(shared, "chunk long, r int, docs binary, counts binary, keys binary")
-    return found.repartition(partitions, "chunk").sortWithinPartitions("chunk", "r").mapInArrow(judged, "high long, low long").distinct()
-
-
 def parts_of(s: Sets, tile: np.ndarray, most: np.ndarray, starts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set, hash) of every part that a set shows. tile: -1 or 0 for the tile that begins with the band before a set's, or with its own."""
     sizes = np.diff(s.at)

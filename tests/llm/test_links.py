@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from quillon.llm import components, exact_dedup, ngram_join
+from quillon.llm import components, exact_dedup, ngram_join, promising
 
 
 def shingles(text, words):
@@ -69,6 +69,6 @@ def test_steps_round_trip():
     for _ in range(100):
         rows = [sorted(rng.choices(range(rng.choice([3, 300, 2048])), k=rng.randint(1, 20))) for _ in range(rng.randint(1, 5))]
         begins = np.cumsum([0, *map(len, rows[:-1])])
-        data, at = ngram_join._steps(np.concatenate(rows), begins)
+        data, at = promising._steps(np.concatenate(rows), begins)
         ends = [*at[begins][1:], len(data)]
-        assert [ngram_join._owners(data[a:b].tobytes()).tolist() for a, b in zip(at[begins], ends)] == rows
+        assert [promising._owners(data[a:b].tobytes()).tolist() for a, b in zip(at[begins], ends)] == rows
