@@ -100,11 +100,17 @@ def _named(name: str):
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="quillon", description=__doc__)
-    p.add_argument("command", choices=["sections", "schedules", "definitions", "extract", "extract-definitions", "collate", "search", "index", "compare", "compare-whole", "form"])
+    p.add_argument(
+        "command",
+        choices=["sections", "schedules", "definitions", "extract", "extract-definitions", "collate", "search", "index", "compare", "compare-whole", "form"]
+    )
     p.add_argument("path", help="a .docx, .pdf or .parquet file of blocks; for form, .parquet table cells")
     p.add_argument("other", nargs="?", help="the document to compare with")
     p.add_argument("--query", action="append", default=[], help="what to look for, or the statement")
-    p.add_argument("--embed", default="quillon.operators.vectors:digest_embedder", help="module:function that gives an embedder; the default one has no meaning")
+    p.add_argument(
+        "--embed", default="quillon.operators.vectors:digest_embedder",
+        help="module:function that gives an embedder; the default one has no meaning"
+    )
     p.add_argument("--decider", default="quillon.operators.decide:Rules", help="module:function that gives a decider; the default one is a stand-in by rules")
     p.add_argument("--vocabulary", help="a tokenizers file that measures chunks; without it, characters do")
     p.add_argument("--report", action="store_true", help="Markdown instead of JSON lines, for compare and form")

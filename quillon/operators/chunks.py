@@ -29,7 +29,9 @@ def detect_headings(blocks: DataFrame) -> DataFrame:
     median = F.median(F.when(F.col("font_size") > 0, F.col("font_size"))).over(whole())
     large = F.col("font_size") > F.col("_median") * 1.1
     marked = blocks.withColumn("_median", median)
-    return marked.withColumn("is_heading", F.coalesce(F.col("_median").isNotNull() & (large | (F.col("is_bold") & (F.length("text") < 120))), F.lit(False))).drop("_median")
+    return marked.withColumn(
+        "is_heading", F.coalesce(F.col("_median").isNotNull() & (large | (F.col("is_bold") & (F.length("text") < 120))), F.lit(False))
+    ).drop("_median")
 
 
 def chunk_by_section(blocks: DataFrame, level=T.numbered_level) -> DataFrame:

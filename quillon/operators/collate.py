@@ -38,7 +38,9 @@ def collate(ranked: DataFrame, chunks: DataFrame, most: int = MOST_CHUNKS, key:
     """
     within = by or []
     rows = ranked.filter(F.col("rank") <= most).join(chunks.select(key, "heading", "pages", T.full_text("heading", "content").alias("text")), key)
-    rows = rows.withColumn("section", T.base_heading(F.coalesce("heading", F.lit("(no heading)")))).withColumn("first", F.coalesce(F.array_min("pages"), F.lit(9999)))
+    rows = rows.withColumn(
+        "section", T.base_heading(F.coalesce("heading", F.lit("(no heading)")))
+    ).withColumn("first", F.coalesce(F.array_min("pages"), F.lit(9999)))
     once = F.row_number().over(Window.partitionBy(*within, "section", "text").orderBy("first", "rank"))
     rows = rows.withColumn("_n", once)
     excerpt = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") == 1, F.struct("first", "rank", "text")))), lambda x: x["text"]), "\n\n")
@@ -53,6 +55,12 @@ def collate(ranked: DataFrame, chunks: DataFrame, most: int = MOST_CHUNKS, key:
 def render(collated: DataFrame, by: list[str] | None = None) -> DataFrame:
     """combined_context, sections of the collated evidence, as one text."""
     pages = F.concat(F.lit("["), F.array_join("pages", ", "), F.lit("]"))
-    part = F.concat(F.lit(f"{HEAVY}\nSECTION : "), "heading", F.lit("\nPages   : "), pages, F.lit("\nTerms   : "), F.array_join("matched_terms", ", "), F.lit(f"\n{LIGHT}\n"), "excerpt")
+    part = F.concat(
+        F.lit(f"{HEAVY}\nSECTION : "), "heading", F.lit("\nPages   : "), pages, F.lit("\nTerms   : "), F.array_join("matched_terms", ", "),
+        F.lit(f"\n{LIGHT}\n"), "excerpt"
+    )
     rows = F.array_sort(F.collect_list(F.struct("ord", part.alias("part"), "heading")))
-    return collated.groupBy(*(by or [])).agg(F.array_join(F.transform(rows, lambda x: x["part"]), "\n\n").alias("combined_context"), F.transform(rows, lambda x: x["heading"]).alias("sections"))
+    return collated.groupBy(*(by or [])).agg(
+        F.array_join(F.transform(rows, lambda x: x["part"]), "\n\n").alias("combined_context"),
+        F.transform(rows, lambda x: x["heading"]).alias("sections")
+    )

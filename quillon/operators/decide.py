@@ -93,14 +93,18 @@ class Rules:
 
     def deviation(self, base_clause: Column, compare_clause: Column) -> dict[str, Column]:
         same = T.collapse(base_clause) == T.collapse(compare_clause)
-        kind = F.when(same, "none").when(F.length(compare_clause) > F.length(base_clause), "addition").when(F.length(compare_clause) < F.length(base_clause), "omission").otherwise("modification")
+        kind = F.when(same, "none").when(
+            F.length(compare_clause) > F.length(base_clause), "addition"
+        ).when(F.length(compare_clause) < F.length(base_clause), "omission").otherwise("modification")
         return {"has_deviation": ~same, "deviation_type": kind}
 
     def section_label(self, base_clause: Column, compare_clause: Column) -> dict[str, Column]:
         return {"section": F.coalesce(T.section_number(T.first_line(base_clause)), F.lit("N/A"))}
 
     def comment(self, base_clause: Column, compare_clause: Column, deviation_type: Column, correction_notes: Column) -> dict[str, Column]:
-        return {"comments": F.concat(deviation_type, F.lit(": "), F.length(base_clause).cast("string"), F.lit(" and "), F.length(compare_clause).cast("string"), F.lit(" characters"))}
+        return {
+            "comments": F.concat(deviation_type, F.lit(": "), F.length(base_clause).cast("string"), F.lit(" and "), F.length(compare_clause).cast("string"), F.lit(" characters"))
+        }
 
     def grounding(self, comments: Column, base_clause: Column, compare_clause: Column) -> dict[str, Column]:
         return {"grounded": F.lit(True), "issues": F.lit("")}

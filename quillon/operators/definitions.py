@@ -32,7 +32,9 @@ def parse_definitions(blocks: DataFrame) -> DataFrame:
     rows = _lined(blocks).withColumn("found", T.defined_term("line"))
     rows = rows.withColumn("term", F.last("found", ignorenulls=True).over(so_far())).withColumn("run", F.count("found").over(so_far())).filter("run > 0")
     rows = rows.withColumn("text", T.collapse("text"))
-    runs = rows.groupBy("doc_id", "term", "run").agg(F.min("seq").alias("seq"), T.strip(joined(F.collect_list(F.struct("seq", "text")), " ")).alias("text")).filter("text <> ''")
+    runs = rows.groupBy("doc_id", "term", "run").agg(
+        F.min("seq").alias("seq"), T.strip(joined(F.collect_list(F.struct("seq", "text")), " ")).alias("text")
+    ).filter("text <> ''")
     return runs.groupBy("doc_id", "term").agg(F.max_by("text", "run").alias("text"), F.min("seq").alias("ord"))
 
 

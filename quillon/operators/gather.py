@@ -20,7 +20,9 @@ def _all() -> WindowSpec:
 
 def _around(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
     """The headings of the chunks of each anchor's document, with the anchor's heading beside them (a_heading)."""
-    heads = anchors.select("doc_id", "anchor_id").distinct().join(chunks.select("doc_id", F.col("chunk_id").alias("anchor_id"), F.col("heading").alias("a_heading")), ["doc_id", "anchor_id"])
+    heads = anchors.select("doc_id", "anchor_id").distinct().join(
+        chunks.select("doc_id", F.col("chunk_id").alias("anchor_id"), F.col("heading").alias("a_heading")), ["doc_id", "anchor_id"]
+    )
     rows = chunks.select("doc_id", "chunk_id", "heading").join(heads, "doc_id")
     return rows.withColumn("base", T.base_heading("heading")).withColumn("a_base", T.base_heading("a_heading")).withColumn("number", T.heading_number("heading")).withColumn("a_number", T.heading_number("a_heading"))
 
@@ -79,7 +81,10 @@ def search_section(chunks: DataFrame, hits: DataFrame) -> DataFrame:
 
     chunks has parent_heading. Comes out with anchor_id and matched_heading.
     """
-    heads = hits.select("doc_id", "anchor_id").distinct().join(chunks.select("doc_id", F.col("chunk_id").alias("anchor_id"), F.col("parent_heading").alias("matched_heading")), ["doc_id", "anchor_id"])
+    heads = hits.select("doc_id", "anchor_id").distinct().join(
+        chunks.select("doc_id", F.col("chunk_id").alias("anchor_id"), F.col("parent_heading").alias("matched_heading")),
+        ["doc_id", "anchor_id"]
+    )
     rows = chunks.select("doc_id", "chunk_id", "parent_heading").join(heads, "doc_id")
     same = F.col("parent_heading") == F.col("matched_heading")
     rows = rows.withColumn("_start", F.min(F.when(same, F.col("chunk_id"))).over(_all()))
@@ -109,11 +114,15 @@ def merge_chunks(gathered: DataFrame) -> DataFrame:
 def stitch_full_texts(gathered: DataFrame) -> DataFrame:
     """One row for each section; its chunks' full texts with empty lines between them."""
     return gathered.groupBy("doc_id", "anchor_id").agg(
-        F.max(F.when(F.col("chunk_id") == F.col("anchor_id"), F.col("heading"))).alias("heading"), _in_order(T.full_text("heading", "content"), "\n\n", "chunk_id").alias("content"), _pages(), F.col("anchor_id").alias("chunk_id"),
+        F.max(
+            F.when(F.col("chunk_id") == F.col("anchor_id"), F.col("heading"))
+        ).alias("heading"), _in_order(T.full_text("heading", "content"), "\n\n", "chunk_id").alias("content"), _pages(), F.col("anchor_id").alias("chunk_id"),
     )
 
 
 def assemble_search(gathered: DataFrame) -> DataFrame:
     """One row for each search: contents in order of page, pages and chunk ids."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("start_page", "chunk_id"))), lambda x: x["chunk_id"])
-    return gathered.groupBy("doc_id", "anchor_id", "matched_heading").agg(_in_order(F.col("content"), "\n\n", "start_page", "chunk_id").alias("content"), _pages(), ids.alias("chunk_ids")).withColumnRenamed("matched_heading", "heading")
+    return gathered.groupBy("doc_id", "anchor_id", "matched_heading").agg(
+        _in_order(F.col("content"), "\n\n", "start_page", "chunk_id").alias("content"), _pages(), ids.alias("chunk_ids")
+    ).withColumnRenamed("matched_heading", "heading")

@@ -41,7 +41,10 @@ def joined(parts: Column, by: str) -> Column:
 def _keyed(rows: DataFrame, paged: bool, double_last: Column | None = None) -> DataFrame:
     """rows have key and run; a run's text is stripped, runs of a key are put together in order."""
     page = [F.collect_set("page").alias("pages")] if paged else []
-    runs = rows.groupBy("doc_id", "key", "run").agg(F.min("seq").alias("seq"), T.strip(joined(F.collect_list(F.struct("seq", "text")), "\n")).alias("text"), *page, *([F.max(double_last).alias("twice")] if double_last is not None else []))
+    runs = rows.groupBy("doc_id", "key", "run").agg(
+        F.min("seq").alias("seq"), T.strip(joined(F.collect_list(F.struct("seq", "text")), "\n")).alias("text"), *page,
+        *([F.max(double_last).alias("twice")] if double_last is not None else [])
+    )
     runs = runs.filter("text <> ''")
     if double_last is not None:
         runs = runs.withColumn("text", F.when(F.col("twice"), F.concat_ws("\n", "text", "text")).otherwise(F.col("text")))
@@ -65,7 +68,10 @@ def parse_sections(blocks: DataFrame, headings_in_key: bool = False, paged: bool
     return _keyed(rows, paged)
 
 
-def parse_schedules(blocks: DataFrame, stop_pattern: str | None = T.STOP_EXECUTION, stop_on_numbered_section: bool = False, paged: bool = False, compat_double_flush: bool = False) -> DataFrame:
+def parse_schedules(
+    blocks: DataFrame, stop_pattern: str | None = T.STOP_EXECUTION, stop_on_numbered_section: bool = False, paged: bool = False,
+    compat_double_flush: bool = False
+) -> DataFrame:
     """doc_id, key, ord, text (and page_numbers) of schedules, from their headings up to the first stop.
 
     A stop is a line that matches stop_pattern or, if asked for, a section number of depth 1, once a schedule has begun.
@@ -81,7 +87,9 @@ def parse_schedules(blocks: DataFrame, stop_pattern: str | None = T.STOP_EXECUTI
     started = F.count("schedule").over(in_order().rowsBetween(Window.unboundedPreceding, -1)) > 0
     rows = rows.withColumn("stop", stops & started).withColumn("end", F.min(F.when(F.col("stop"), F.col("seq"))).over(whole()))
     rows = rows.filter(F.col("end").isNull() | (F.col("seq") < F.col("end")))
-    rows = rows.withColumn("key", F.concat(F.lit("Schedule "), F.last("schedule", ignorenulls=True).over(so_far()))).withColumn("run", F.count("schedule").over(so_far()))
+    rows = rows.withColumn(
+        "key", F.concat(F.lit("Schedule "), F.last("schedule", ignorenulls=True).over(so_far()))
+    ).withColumn("run", F.count("schedule").over(so_far()))
     rows = rows.filter("run > 0")
     last = None
     if compat_double_flush:

@@ -107,7 +107,10 @@ def chunk_sections(sections: DataFrame, size: int = SECTION_CHARS, overlap: int
     cut = split_column(sections.filter(long), "text", Splitter(size, overlap))
     n = F.size("pieces")
     paged = "page_numbers" in sections.columns
-    cut = cut.select(*[c for c in sections.columns if c not in ("key", "text")], "key", F.col("text").alias("_whole"), n.alias("_n"), F.posexplode("pieces").alias("_i", "_piece"))
+    cut = cut.select(
+        *[c for c in sections.columns if c not in ("key", "text")], "key", F.col("text").alias("_whole"), n.alias("_n"),
+        F.posexplode("pieces").alias("_i", "_piece")
+    )
     key = F.when(F.col("_n") == 1, F.col("key")).otherwise(F.format_string("%s [%d/%d]", "key", F.col("_i") + 1, "_n"))
     text = F.when((F.col("_n") == 1) & F.lit(paged), F.col("_whole")).otherwise(F.col("_piece"))
     cut = cut.withColumn("key", key).withColumn("text", text).withColumn("piece", F.col("_i")).select(*sections.columns, "piece")

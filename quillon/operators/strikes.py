@@ -18,7 +18,10 @@ PAGE = ["doc_id", "page"]
 MOST_HEIGHT, LEAST_RATIO, NEAR, ABOVE, BELOW = 3.0, 3, 0.6, 0.85, 0.45
 
 
-def strike_lines(drawings: DataFrame, words: DataFrame, colour: str = "red", most_height: float = MOST_HEIGHT, padding: float = 0.0, near: float | None = None) -> DataFrame:
+def strike_lines(
+    drawings: DataFrame, words: DataFrame, colour: str = "red", most_height: float = MOST_HEIGHT, padding: float = 0.0,
+    near: float | None = None
+) -> DataFrame:
     """The drawings that are thin, wide and of the colour (red, not_blue or any), and run through the middle of a word.
 
     A word counts if its box meets the line's and the line's middle lies between its top and bottom, widened by padding, or, if
@@ -28,7 +31,9 @@ def strike_lines(drawings: DataFrame, words: DataFrame, colour: str = "red", mos
     wanted = {"red": G.is_red(*rgb), "not_blue": G.is_red(*rgb) & ~G.is_blue(*rgb), "any": F.lit(True)}[colour]
     height, width = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     lines = drawings.filter((height <= most_height) & (width > height * LEAST_RATIO) & wanted)
-    a = lines.select(*PAGE, "drawing_id", *(F.col(k).alias(f"a_{k}") for k in ("x0", "y0", "x1", "y1"))).withColumn("_mid", G.middle(F.col("a_y0"), F.col("a_y1"))).alias("a")
+    a = lines.select(
+        *PAGE, "drawing_id", *(F.col(k).alias(f"a_{k}") for k in ("x0", "y0", "x1", "y1"))
+    ).withColumn("_mid", G.middle(F.col("a_y0"), F.col("a_y1"))).alias("a")
     b = words.select(F.col("doc_id").alias("b_doc"), F.col("page").alias("b_page"), *(F.col(k).alias(f"b_{k}") for k in ("x0", "y0", "x1", "y1")))
     inside = (F.col("b_y0") - padding < F.col("_mid")) & (F.col("_mid") < F.col("b_y1") + padding)
     if near is not None:
@@ -39,12 +44,17 @@ def strike_lines(drawings: DataFrame, words: DataFrame, colour: str = "red", mos
 
 def redactions(lines: DataFrame, chars: DataFrame) -> DataFrame:
     """For each strike line, the box over the red characters under it, and the line itself: doc_id, page, drawing_id, kind, x0, y0, x1, y1."""
-    red = chars.filter(G.is_red(*G.unpacked(F.col("span_color")))).select(*PAGE, F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), G.middle(F.col("y0"), F.col("y1")).alias("cmid"), "font_size")
+    red = chars.filter(G.is_red(*G.unpacked(F.col("span_color")))).select(
+        *PAGE, F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), G.middle(F.col("y0"), F.col("y1")).alias("cmid"), "font_size"
+    )
     mid = G.middle(F.col("y0"), F.col("y1"))
     under = (F.col("cx0") < F.col("x1")) & (F.col("cx1") > F.col("x0")) & (F.abs(F.col("cmid") - mid) < F.col("font_size") * NEAR)
     met = lines.join(red, PAGE).filter(under)
     boxes = met.groupBy(*PAGE, "drawing_id").agg(F.min("cx0").alias("x0"), F.max("cx1").alias("x1"), F.avg("font_size").alias("size"), F.max(mid).alias("mid"))
-    boxes = boxes.select(*PAGE, "drawing_id", F.lit("text").alias("kind"), "x0", (F.col("mid") - F.col("size") * ABOVE).alias("y0"), "x1", (F.col("mid") + F.col("size") * BELOW).alias("y1"))
+    boxes = boxes.select(
+        *PAGE, "drawing_id", F.lit("text").alias("kind"), "x0", (F.col("mid") - F.col("size") * ABOVE).alias("y0"), "x1",
+        (F.col("mid") + F.col("size") * BELOW).alias("y1")
+    )
     return boxes.unionByName(lines.select(*PAGE, "drawing_id", F.lit("line").alias("kind"), "x0", "y0", "x1", "y1"))
 
 

@@ -105,7 +105,9 @@ def _scores(matrix: np.ndarray, own: np.ndarray, digits: int) -> np.ndarray:
     return score + 0.0
 
 
-def _best(ids: pa.Array, matrix: np.ndarray, own: np.ndarray, groups: np.ndarray | None, most: int, digits: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _best(
+    ids: pa.Array, matrix: np.ndarray, own: np.ndarray, groups: np.ndarray | None, most: int, digits: int
+) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(queries, places of rows, scores): for each query its best rows, at most so many (of each group); own rows are in order of key."""
     if not len(own) or not len(matrix) or own.shape[1] != matrix.shape[1]:
         return
@@ -130,7 +132,10 @@ def _order(keys: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.argsort(np.asarray(keys.to_pylist(), object if pa.types.is_string(keys.type) else None), kind="stable")
 
 
-def top_k(store: DataFrame, queries: DataFrame, k: int, key: str = "key", query: str = "query_id", vector: str = "vector", without_self: bool = False, digits: int = 6, by: str | None = None) -> DataFrame:
+def top_k(
+    store: DataFrame, queries: DataFrame, k: int, key: str = "key", query: str = "query_id", vector: str = "vector",
+    without_self: bool = False, digits: int = 6, by: str | None = None
+) -> DataFrame:
     """query, (by,) key, score, rank: the k rows of the store with the largest cosines for each query.
 
     queries has query and vector. With by, a column of the store, each query gets the k best rows of each by (each document, say); if queries
@@ -168,7 +173,9 @@ def top_k(store: DataFrame, queries: DataFrame, k: int, key: str = "key", query:
         def meet(own: pa.Table, others: pa.Table) -> pa.Table:
             own = own.take(pa.array(_order(own.column("_key")))).combine_chunks()
             out = [pa.table([others.column("_q").slice(0, 0), *(own.column(c).slice(0, 0) for c in ("_key", *grouped)), pa.array([], pa.float64())], names)]
-            for q, at, score in _best(others.column("_q").combine_chunks(), _matrix(others.column("vector")), _matrix(own.column("vector")), None, most, digits):
+            for q, at, score in _best(
+                others.column("_q").combine_chunks(), _matrix(others.column("vector")), _matrix(own.column("vector")), None, most, digits
+            ):
                 out.append(pa.table([q, *(own.column(c).take(pa.array(at)) for c in ("_key", *grouped)), pa.array(score)], names))
             return pa.concat_tables(out)
 
@@ -258,7 +265,10 @@ def pick_best(candidates: DataFrame, query: str, decider, most: int = SHOWN) ->
     """For each document the candidate (rank, heading, content) that a decision picks of the best few, shown by 300 characters on one line; the first if it fails or picks none."""
     shown = F.concat_ws(" ", "heading", F.regexp_replace(F.substring("content", 1, SHOWN_CHARS), "\n", " "))
     few = candidates.filter(F.col("rank") <= most).withColumn("_shown", shown)
-    listed = few.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_shown"))), lambda x: x["_shown"]).alias("_shown"), F.array_sort(F.collect_list("rank")).alias("_ranks"))
+    listed = few.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "_shown"))), lambda x: x["_shown"]).alias("_shown"),
+        F.array_sort(F.collect_list("rank")).alias("_ranks")
+    )
     told = decider.decide(listed, "pick_best", {"query": F.lit(query), "candidates": F.col("_shown")}, "d")
     picked = told.select("doc_id", F.coalesce(F.when(F.col("d.index") >= 0, F.get("_ranks", F.col("d.index"))), F.get("_ranks", F.lit(0))).alias("rank"))
     return few.drop("_shown").join(picked, ["doc_id", "rank"], "left_semi")

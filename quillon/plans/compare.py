@@ -112,7 +112,10 @@ def check_context(tokens: Column, limit: int = CONTEXT_LIMIT) -> Column:
 def fix_section_labels(items: DataFrame, relabel: Callable[[Column], Column], by: list[str]) -> DataFrame:
     """If any label of a comparison (by) is longer than 50 characters, all of its labels are given anew by relabel, which gets their first 120 characters."""
     long = F.max(F.length("section")).over(Window.partitionBy(*by)) > LONG_LABEL
-    return items.withColumn("_long", long).withColumn("section", F.when(F.col("_long"), F.coalesce(relabel(F.substring("section", 1, LABEL_PROMPT_CHARS)), F.col("section"))).otherwise(F.col("section"))).drop("_long")
+    return items.withColumn("_long", long).withColumn(
+        "section",
+        F.when(F.col("_long"), F.coalesce(relabel(F.substring("section", 1, LABEL_PROMPT_CHARS)), F.col("section"))).otherwise(F.col("section"))
+    ).drop("_long")
 
 
 def provider(base_url: str, asked: str = "auto") -> str:
@@ -127,7 +130,10 @@ def compare_whole(base: DataFrame, compared: DataFrame, decider: Decider, limit:
 
     A pair that goes over the share of the context that is safe has no items but the reason in problem, and so has a failed decision.
     """
-    a, b = (whole_prompt(x).select("doc_id", F.col("prompt").alias(n), F.col("tokens").alias(f"{n}_tokens")) for x, n in ((base, "base"), (compared, "compare")))
+    a, b = (
+        whole_prompt(x).select("doc_id", F.col("prompt").alias(n), F.col("tokens").alias(f"{n}_tokens")) for x,
+        n in ((base, "base"), (compared, "compare"))
+    )
     pairs = a.join(b, "doc_id").withColumn("tokens", F.col("base_tokens") + F.col("compare_tokens"))
     fits = F.col("tokens") <= int(limit * CONTEXT_SHARE)
     asked = decider.decide(pairs.filter(fits), "whole_comparison", {"base": F.col("base"), "compare": F.col("compare")}, "d")

@@ -26,7 +26,10 @@ DEFINITION_QUERIES = (
 )
 
 
-def prepare_chunks(blocks: DataFrame, decider: Decider | None = None, size: int = split.CHUNK_TOKENS, overlap: int = split.TOKEN_OVERLAP, measure: Callable[[str], int] = len) -> DataFrame:
+def prepare_chunks(
+    blocks: DataFrame, decider: Decider | None = None, size: int = split.CHUNK_TOKENS, overlap: int = split.TOKEN_OVERLAP,
+    measure: Callable[[str], int] = len
+) -> DataFrame:
     """Blocks with fonts to chunks: pages of contents go (if there is a decider), headings are found, long chunks are split."""
     if decider is not None:
         decided = decider.decide(C.toc_candidates(blocks), "toc", {"preview": F.col("preview")}, "d").filter("d.is_toc").select("doc_id", "page")
@@ -51,13 +54,23 @@ def extract_section(chunks: DataFrame, query: str, embed: Callable[[Column], Col
     """
     spark, store = chunks.sparkSession, _keyed(vectors.build_chunk_store(chunks, embed))
     heads = vectors.unique_headings(chunks)
-    listed = heads.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "base_heading"))), lambda x: x["base_heading"]).alias("headings"), F.array_sort(F.collect_list("chunk_id")).alias("ids"))
-    named = decider.decide(listed, "heading_rank", {"query": F.lit(query), "headings": F.col("headings")}, "d").select("doc_id", "ids", F.posexplode(F.slice("d.headings", 1, 3)).alias("rank", "at"))
+    listed = heads.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "base_heading"))), lambda x: x["base_heading"]).alias("headings"),
+        F.array_sort(F.collect_list("chunk_id")).alias("ids")
+    )
+    named = decider.decide(
+        listed, "heading_rank", {"query": F.lit(query), "headings": F.col("headings")}, "d"
+    ).select("doc_id", "ids", F.posexplode(F.slice("d.headings", 1, 3)).alias("rank", "at"))
     named = named.select("doc_id", F.get("ids", F.col("at")).alias("chunk_id"), "rank").filter("chunk_id is not null")
     queries = query_rows(spark, [t.format(query) for t in TEMPLATES], embed)
-    hits = vectors.with_heading_matches(vectors.top_k(store, queries, top_k, "chunk_key", by="doc_id").drop("doc_id"), vectors.heading_matches(store, queries, key="chunk_key"), "chunk_key")
+    hits = vectors.with_heading_matches(
+        vectors.top_k(store, queries, top_k, "chunk_key", by="doc_id").drop("doc_id"),
+        vectors.heading_matches(store, queries, key="chunk_key"), "chunk_key"
+    )
     best = hits.groupBy("chunk_key").agg(F.max("score").alias("score")).join(store.select("chunk_key", "doc_id", "chunk_id"), "chunk_key")
-    semantic = best.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_id"))).select("doc_id", "chunk_id", "rank")
+    semantic = best.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_id"))
+    ).select("doc_id", "chunk_id", "rank")
     order = vectors.candidate_list(named, semantic)
     gathered = gather.gather_full_section(chunks, order.select("doc_id", F.col("chunk_id").alias("anchor_id")), version)
     merged = gather.merge_chunks(gathered).join(order.select("doc_id", F.col("chunk_id").alias("anchor_id"), "rank"), ["doc_id", "anchor_id"])

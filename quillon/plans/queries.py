@@ -159,7 +159,10 @@ SELECT doc_id, section, count(*) AS paragraphs, min(seq) AS first FROM s GROUP B
 
 
 def _fonts(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "seq", "page", "text", F.when(F.length("text") % 7 == 0, 20.0).otherwise(12.0).alias("font_size"), (F.col("seq") % 9 == 4).alias("is_bold"))
+    return rows.select(
+        "doc_id", "seq", "page", "text", F.when(F.length("text") % 7 == 0, 20.0).otherwise(12.0).alias("font_size"),
+        (F.col("seq") % 9 == 4).alias("is_bold")
+    )
 
 
 _FONT_CHUNKS = f"""{_NUMBERED}, fonts AS (SELECT *, CASE WHEN length(text) % 7 = 0 THEN 20.0 ELSE 12.0 END AS font_size, seq % 9 = 4 AS is_bold FROM blocks),
@@ -177,7 +180,10 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def font_headings_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pages_text(_chunks(spark, sf_dir), "pages")
-    return rows.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "heading", "content", "pages", F.col("start_page").cast("long").alias("start_page"), F.col("heading_level").cast("long").alias("heading_level"))
+    return rows.select(
+        "doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "heading", "content", "pages",
+        F.col("start_page").cast("long").alias("start_page"), F.col("heading_level").cast("long").alias("heading_level")
+    )
 
 
 SQL["font_headings_chunks"] = f"WITH {_FONT_CHUNKS} SELECT doc_id, chunk_id, heading, content, array_to_string(pages, ',') AS pages, start_page, {_LEVEL_SQL} AS heading_level FROM chunks"
@@ -196,7 +202,10 @@ def _anchors(chunks: DataFrame) -> DataFrame:
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "anchor_id").agg(F.min("chunk_id").cast("long").alias("first_chunk"), F.max("chunk_id").cast("long").alias("last_chunk"), F.count(F.lit(1)).alias("chunks")).withColumn("anchor_id", F.col("anchor_id").cast("long"))
+    return rows.groupBy("doc_id", "anchor_id").agg(
+        F.min("chunk_id").cast("long").alias("first_chunk"), F.max("chunk_id").cast("long").alias("last_chunk"),
+        F.count(F.lit(1)).alias("chunks")
+    ).withColumn("anchor_id", F.col("anchor_id").cast("long"))
 
 
 def gather_section(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +257,10 @@ SELECT doc_id, anchor_id, min(chunk_id) AS first_chunk, max(chunk_id) AS last_ch
 def merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
     merged = gather.merge_chunks(gather.gather_full_section(chunks, _anchors(chunks)))
-    return _pages_text(merged, "pages").select("doc_id", F.col("anchor_id").cast("long").alias("anchor_id"), "heading", "content", "pages", F.col("chunk_id").cast("long").alias("chunk_id"))
+    return _pages_text(merged, "pages").select(
+        "doc_id", F.col("anchor_id").cast("long").alias("anchor_id"), "heading", "content", "pages",
+        F.col("chunk_id").cast("long").alias("chunk_id")
+    )
 
 
 SQL["merged_sections"] = SQL["gather_section"].split("SELECT doc_id, anchor_id, min(chunk_id)")[0] + r"""SELECT doc_id, anchor_id, arg_min(base, chunk_id) AS heading,
@@ -269,8 +281,12 @@ SELECT doc_id, count(*) AS blocks, min(page) AS first_page FROM blocks b WHERE N
 
 
 def docx_page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text", (F.col("role") == "user").cast("int").alias("breaks"))
-    return B.paged_paragraphs(rows).groupBy("doc_id", F.col("page").cast("long").alias("page")).agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
+    rows = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text", (F.col("role") == "user").cast("int").alias("breaks")
+    )
+    return B.paged_paragraphs(rows).groupBy("doc_id", F.col("page").cast("long").alias("page")).agg(
+        F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("text")).alias("chars")
+    )
 
 
 SQL["docx_page_breaks"] = r"""WITH p AS (SELECT conv_id AS doc_id, turn AS seq, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text,
@@ -291,7 +307,10 @@ def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     name = F.when(k % 10 == 0, F.lit("SECTION A")).when(k % 10 == 1, F.lit("  ")).when(k % 10 == 2, F.lit("TERMS OF LOAN")).otherwise(F.concat(F.lit(" Field "), k.cast("string")))
     value = F.when(k % 7 != 0, F.col("o_orderstatus"))
-    cells = o.select((k % 100).alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), k.alias("row_no"), F.posexplode(F.array(name, value)).alias("col_no", "text"))
+    cells = o.select(
+        (k % 100).alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), k.alias("row_no"),
+        F.posexplode(F.array(name, value)).alias("col_no", "text")
+    )
     return B.extract_form_fields(cells).select("doc_id", F.col("seq").cast("long").alias("seq"), "name", "value")
 
 
@@ -434,9 +453,14 @@ SELECT chunk_id, max(score) AS best, string_agg(term, ',' ORDER BY term) AS term
 
 def collated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir).withColumn("chunk_key", F.col("doc_id") * 1000 + F.col("chunk_id"))
-    ranked = chunks.select("doc_id", "chunk_key", (F.col("chunk_id") + 1).alias("rank"), F.array(F.concat(F.lit("t"), (F.col("chunk_id") % 3).cast("string"))).alias("terms"))
+    ranked = chunks.select(
+        "doc_id", "chunk_key", (F.col("chunk_id") + 1).alias("rank"),
+        F.array(F.concat(F.lit("t"), (F.col("chunk_id") % 3).cast("string"))).alias("terms")
+    )
     found = collate.collate(ranked, chunks.drop("doc_id"), key="chunk_key", by=["doc_id"])
-    return _pages_text(found, "pages").select("doc_id", "heading", "pages", F.array_join("matched_terms", ",").alias("terms"), "excerpt", F.col("ord").cast("long").alias("ord"))
+    return _pages_text(found, "pages").select(
+        "doc_id", "heading", "pages", F.array_join("matched_terms", ",").alias("terms"), "excerpt", F.col("ord").cast("long").alias("ord")
+    )
 
 
 SQL["collated_sections"] = rf"""WITH {_FONT_CHUNKS}, r AS (SELECT doc_id, chunk_id, trim(regexp_replace(heading, '\s*\(part \d+\)\s*$', '')) AS section, pages, 't' || (chunk_id % 3) AS term,
@@ -451,7 +475,10 @@ def form_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row is a field and a section, but not its own."""
     rows = _embeddings(spark, sf_dir)
     heads = rows.withColumn("heading", F.concat(F.lit("Heading "), F.col("key").cast("string")))
-    fields = rows.select(F.col("key").alias("seq"), F.concat(F.lit("f"), F.col("key").cast("string")).alias("name"), (F.col("label").cast("string")).alias("value"), "vector")
+    fields = rows.select(
+        F.col("key").alias("seq"), F.concat(F.lit("f"), F.col("key").cast("string")).alias("name"),
+        (F.col("label").cast("string")).alias("value"), "vector"
+    )
     texts = rows.select("key", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"))
     out = form_plan.check_fields(fields, heads, texts, Rules(), without_self=True)
     return out.select("seq", "name", F.col("section_key").cast("string").alias("section_key"), T.match_label("match").alias("result"))
@@ -470,7 +497,10 @@ def _pages_with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
 
 
 def _compared(out: DataFrame) -> DataFrame:
-    return out.select("item_no", "section", F.col("base_page").cast("long").alias("base_page"), F.col("compare_page").cast("long").alias("compare_page"), "base_paragraph", "deviation", "deviation_type", F.col("score").cast("long").alias("score"), "severity", "comments")
+    return out.select(
+        "item_no", "section", F.col("base_page").cast("long").alias("base_page"), F.col("compare_page").cast("long").alias("compare_page"),
+        "base_paragraph", "deviation", "deviation_type", F.col("score").cast("long").alias("score"), "severity", "comments"
+    )
 
 
 def compare_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -533,7 +563,10 @@ FROM documents JOIN labels USING (doc_id) GROUP BY source"""
 
 
 def _shapes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    li = _table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 40).alias("doc_id"), F.col("l_linenumber").cast("int").alias("page"), "l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("q"))
+    li = _table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 40).alias("doc_id"), F.col("l_linenumber").cast("int").alias("page"), "l_orderkey", "l_partkey",
+        "l_suppkey", F.col("l_quantity").cast("double").alias("q")
+    )
     x0, y0 = F.col("q") * 8, (F.col("l_partkey") % 40).cast("double") * 3
     drawings = li.filter("l_suppkey % 3 = 0").select("doc_id", "page", F.col("l_orderkey").alias("drawing_id"), x0.alias("x0"), (y0 + 4).alias("y0"), (x0 + 60).alias("x1"), (y0 + 5).alias("y1"),
         F.when(F.col("l_partkey") % 4 == 0, F.array(F.lit(0.0), F.lit(0.0), F.lit(0.9))).otherwise(F.array(F.lit(0.9), F.lit(0.1), F.lit(0.1))).alias("color"), F.lit(None).cast("array<double>").alias("fill"))
@@ -558,7 +591,9 @@ SQL["strike_lines"] = f"WITH {_SHAPES} SELECT doc_id, page::BIGINT AS page, draw
 
 def strike_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawings, words, chars = _shapes(spark, sf_dir)
-    return strikes.redactions(strikes.strike_lines(drawings, words), chars).withColumn("page", F.col("page").cast("long")).select("doc_id", "page", "drawing_id", "kind", *(F.round(k, 6).alias(k) for k in ("x0", "y0", "x1", "y1")))
+    return strikes.redactions(strikes.strike_lines(drawings, words), chars).withColumn("page", F.col("page").cast("long")).select(
+        "doc_id", "page", "drawing_id", "kind", *(F.round(k, 6).alias(k) for k in ("x0", "y0", "x1", "y1"))
+    )
 
 
 SQL["strike_redactions"] = f"""WITH {_SHAPES}, m AS (SELECT s.doc_id, s.page, s.drawing_id, min(b.x0) AS x0, max(b.x1) AS x1, avg(10.0::DOUBLE) AS size, max((s.y0 + s.y1) / 2) AS mid FROM s JOIN b ON s.doc_id = b.doc_id AND s.page = b.page
@@ -578,7 +613,11 @@ SELECT doc_id, page::BIGINT AS page, string_agg(c, '' ORDER BY seq) AS text FROM
 
 
 def self_rag_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("query_id"), F.col("doc_id").alias("position"), F.when(F.col("quality") == 1, "Fully supported").otherwise("No support").alias("support"), (F.col("doc_id") % 5 + 1).alias("utility"))
+    rows = _table(spark, sf_dir, "labels").select(
+        (F.col("doc_id") % 50).alias("query_id"), F.col("doc_id").alias("position"),
+        F.when(F.col("quality") == 1, "Fully supported").otherwise("No support").alias("support"),
+        (F.col("doc_id") % 5 + 1).alias("utility")
+    )
     return self_rag.best_response(rows)
 
 
@@ -604,8 +643,14 @@ def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def named_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections under named headings (schedules, annexes), from every chunk."""
     rows = _lines(spark, sf_dir)
-    mark = F.when(F.col("seq") % 9 == 4, F.concat(F.when(F.col("seq") % 2 == 0, "Schedule ").otherwise("Annex "), (F.floor(F.col("seq") / 27) + 1).cast("string"), F.lit(" "))).otherwise("")
-    blocks = rows.select("doc_id", "seq", "page", F.concat(mark, F.substring("line", 1, 60)).alias("text"), F.lit(12.0).alias("font_size"), (F.col("seq") % 9 == 4).alias("is_bold"))
+    mark = F.when(
+        F.col("seq") % 9 == 4,
+        F.concat(F.when(F.col("seq") % 2 == 0, "Schedule ").otherwise("Annex "), (F.floor(F.col("seq") / 27) + 1).cast("string"), F.lit(" "))
+    ).otherwise("")
+    blocks = rows.select(
+        "doc_id", "seq", "page", F.concat(mark, F.substring("line", 1, 60)).alias("text"), F.lit(12.0).alias("font_size"),
+        (F.col("seq") % 9 == 4).alias("is_bold")
+    )
     chunks = C.chunk_by_section(C.detect_headings(blocks))
     return _gathered(gather.gather_full_section(chunks, _anchors(chunks)))
 
@@ -659,7 +704,9 @@ def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir)
     store = rows.withColumn("key", F.format_string("K%06d [%d/5]", F.floor(F.col("key") / 5), F.col("key") % 5 + 1))
     hits = vectors.top_k(store, rows.filter("key % 100 = 0").select(F.col("key").alias("query_id"), "vector"), 10)
-    seen = vectors.first_seen(hits, store.withColumn("start_page", F.lit(1)), "key").select(F.lit(-1).cast("long").alias("query_id"), "key", F.lit(0).cast("long").alias("rank"))
+    seen = vectors.first_seen(hits, store.withColumn("start_page", F.lit(1)), "key").select(
+        F.lit(-1).cast("long").alias("query_id"), "key", F.lit(0).cast("long").alias("rank")
+    )
     return seen.unionByName(vectors.deduplicate(hits, by="query_id").select("query_id", "key", F.col("rank").cast("long").alias("rank")))
 
 
@@ -698,7 +745,11 @@ UNION ALL SELECT doc_id, page::BIGINT, 'word', id FROM b WHERE NOT EXISTS (SELEC
 
 def paragraphs_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw blocks as paragraphs in reading order, which runs against the block numbers here."""
-    raw = _lines(spark, sf_dir).select("doc_id", (F.col("page") - 1).alias("page_index"), F.col("seq").alias("block_no"), (F.col("seq") % 11 == 10).cast("int").alias("kind"), F.col("line").alias("text"), (-F.col("seq")).cast("double").alias("y0"), F.lit(0.0).alias("x0"))
+    raw = _lines(spark, sf_dir).select(
+        "doc_id", (F.col("page") - 1).alias("page_index"), F.col("seq").alias("block_no"),
+        (F.col("seq") % 11 == 10).cast("int").alias("kind"), F.col("line").alias("text"), (-F.col("seq")).cast("double").alias("y0"),
+        F.lit(0.0).alias("x0")
+    )
     return B.load_paragraphs(raw).select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("page").cast("long").alias("page"), "text")
 
 
@@ -707,11 +758,19 @@ SQL["paragraphs_in_order"] = f"WITH {_LINES} SELECT doc_id, row_number() OVER (P
 
 def blocks_from_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with fonts from spans: each word of a line is a span, three lines are a block."""
-    spans = _lines(spark, sf_dir).select("doc_id", (F.col("page") - 1).alias("page_index"), F.floor(F.col("seq") / 3).alias("block_no"), F.col("seq").alias("line_no"), F.posexplode(F.split("line", " ")).alias("span_no", "text"))
-    spans = spans.withColumn("size", (10 + F.col("span_no") % 4).cast("double")).withColumn("font", F.when(F.col("line_no") % 5 == 0, "Arial-BoldMT").otherwise("Arial"))
+    spans = _lines(spark, sf_dir).select(
+        "doc_id", (F.col("page") - 1).alias("page_index"), F.floor(F.col("seq") / 3).alias("block_no"), F.col("seq").alias("line_no"),
+        F.posexplode(F.split("line", " ")).alias("span_no", "text")
+    )
+    spans = spans.withColumn("size", (10 + F.col("span_no") % 4).cast("double")).withColumn(
+        "font", F.when(F.col("line_no") % 5 == 0, "Arial-BoldMT").otherwise("Arial")
+    )
     boxed = spans.select("*", *(F.col("line_no").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     found = B.structured_blocks(boxed)
-    return found.select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("page").cast("long").alias("page"), "text", "font_size", "is_bold", F.col("bbox.y0").alias("top"), F.col("bbox.y1").alias("bottom"))
+    return found.select(
+        "doc_id", F.col("seq").cast("long").alias("seq"), F.col("page").cast("long").alias("page"), "text", "font_size", "is_bold",
+        F.col("bbox.y0").alias("top"), F.col("bbox.y1").alias("bottom")
+    )
 
 
 SQL["blocks_from_spans"] = f"""WITH {_LINES}, b AS (SELECT doc_id, page, seq // 3 AS block_no, string_agg(replace(line, ' ', ''), chr(10) ORDER BY seq) AS text, max(10 + least(len(string_split(line, ' ')) - 1, 3))::DOUBLE AS font_size,
@@ -723,7 +782,10 @@ def fallback_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form fields from cells, and for documents without any from the answer to a prompt, here its first characters."""
     o = _table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    rows = o.select((key % 100).alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), key.alias("row_no"), F.posexplode(F.array(F.concat(F.lit("Field "), key.cast("string")), F.col("o_orderstatus"))).alias("col_no", "text"))
+    rows = o.select(
+        (key % 100).alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), key.alias("row_no"),
+        F.posexplode(F.array(F.concat(F.lit("Field "), key.cast("string")), F.col("o_orderstatus"))).alias("col_no", "text")
+    )
     blocks = o.select((key % 100).alias("doc_id"), key.alias("seq"), "o_orderpriority").withColumnRenamed("o_orderpriority", "text")
     answer = lambda prompt: F.array(F.struct(F.lit("prompt").alias("name"), F.substring(prompt, 1, 20).alias("value"), F.lit(None).cast("int").alias("page")))
     found = B.form_fields_with_fallback(rows.filter("doc_id % 3 = 0"), blocks, answer)
@@ -736,8 +798,12 @@ UNION ALL SELECT o_orderkey % 100, 0, 1, 'prompt', left(string_agg(o_orderpriori
 
 def relabelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """If any label of a comparison is too long all of its labels are given anew; items that break an invariant are found."""
-    items = _items(spark, sf_dir).withColumn("pair", F.col("item_no") % 40).withColumn("section", F.substring("base_paragraph", 1, F.lit(10) + (F.col("item_no") % 44).cast("int")))
-    fixed = compare_plan.fix_section_labels(items, lambda t: F.concat(F.lit("new: "), t), ["pair"]).withColumn("comments", F.when(F.col("item_no") % 3 != 0, F.col("comments")))
+    items = _items(spark, sf_dir).withColumn("pair", F.col("item_no") % 40).withColumn(
+        "section", F.substring("base_paragraph", 1, F.lit(10) + (F.col("item_no") % 44).cast("int"))
+    )
+    fixed = compare_plan.fix_section_labels(items, lambda t: F.concat(F.lit("new: "), t), ["pair"]).withColumn(
+        "comments", F.when(F.col("item_no") % 3 != 0, F.col("comments"))
+    )
     problems = compare_plan.item_problems(fixed).select("item_no", "problem")
     return fixed.join(problems, "item_no", "left").select("item_no", "section", "problem")
 
@@ -761,7 +827,10 @@ def whole_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against itself without its first line, in one prompt; too long prompts are reported."""
     rows = _lines(spark, sf_dir).select("doc_id", "seq", "page", F.lit("S").alias("section"), F.col("line").alias("text"))
     found = compare_plan.compare_whole(rows.filter("seq > 0"), rows, Rules(), 2000)
-    return found.select("doc_id", F.col("item_no").cast("long").alias("item_no"), F.col("compare_page").cast("long").alias("page"), F.col("compare_paragraph").alias("text"), F.col("problem").isNotNull().alias("too_long"))
+    return found.select(
+        "doc_id", F.col("item_no").cast("long").alias("item_no"), F.col("compare_page").cast("long").alias("page"),
+        F.col("compare_paragraph").alias("text"), F.col("problem").isNotNull().alias("too_long")
+    )
 
 
 SQL["whole_comparisons"] = f"""WITH {_LINES}, p AS (SELECT doc_id, seq, page, line, '(p.' || page || ' | §S) ' || line AS shown FROM lines),

@@ -32,7 +32,9 @@ def _line(*cells: Column) -> Column:
 def deviation_rows(items: DataFrame, full: bool = True) -> DataFrame:
     """item_no and its table line: ten columns, or the eight without type and materiality; texts are cut at 250, or 300, characters."""
     cut = FULL_CHARS if full else PLAIN_CHARS
-    score = F.when(F.coalesce("score", F.lit(0)) != 0, F.concat(F.col("score").cast("string"), F.lit("/5 ("), F.col("severity"), F.lit(")"))).otherwise("—") if full else None
+    score = F.when(
+        F.coalesce("score", F.lit(0)) != 0, F.concat(F.col("score").cast("string"), F.lit("/5 ("), F.col("severity"), F.lit(")"))
+    ).otherwise("—") if full else None
     more = ["deviation_type", score] if full else []
     line = _line(
         F.col("item_no").cast("string"), F.col("section"), T.page_label("base_page"), T.page_label("compare_page"), T.truncated("base_paragraph", cut), T.truncated("compare_paragraph", cut),
@@ -48,7 +50,10 @@ def _counted() -> list[Column]:
 def _columns(base_doc: str, compare_doc: str, full: bool) -> list[str]:
     if full:
         return ["#", "Section", f"`{base_doc}` Page", f"`{compare_doc}` Page", "Base Clause", "Compare Clause", "Deviation", "Type", "Materiality", "Comments"]
-    return ["#", "Section", f"Source PDF `{base_doc}` Page", f"Compared Doc `{compare_doc}` Page", "Base Document Paragraph", "Compared Document Paragraph", "Deviation", "Comments"]
+    return [
+        "#", "Section", f"Source PDF `{base_doc}` Page", f"Compared Doc `{compare_doc}` Page", "Base Document Paragraph",
+        "Compared Document Paragraph", "Deviation", "Comments"
+    ]
 
 
 def _comparison_parts(base_doc: str, compare_doc: str, full: bool, tokens_used: int) -> tuple[Column, str]:
@@ -57,7 +62,9 @@ def _comparison_parts(base_doc: str, compare_doc: str, full: bool, tokens_used:
     head = "| " + " | ".join(names) + " |\n|" + "---|" * len(names) + "\n"
     used = f"**Total tokens used:** {tokens_used:,}  \n" if tokens_used and not full else ""
     before = F.concat(
-        F.lit(f"{COMPARISON_TITLE}{FULL_MARK if full else ''}\n\n**Base document:** `{base_doc}`  \n**Compared document:** `{compare_doc}`  \n**Material deviations found:** "),
+        F.lit(
+            f"{COMPARISON_TITLE}{FULL_MARK if full else ''}\n\n**Base document:** `{base_doc}`  \n**Compared document:** `{compare_doc}`  \n**Material deviations found:** "
+        ),
         F.col("n").cast("string"),
         F.lit(f"  \n{used}\n---\n\n## Deviation Table\n\n"),
         F.when(F.col("all") == 0, NOTHING).otherwise(head),
@@ -84,7 +91,10 @@ def comparison_lines(items: DataFrame, base_doc: str, compare_doc: str, full: bo
 def counts(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """matches, deviations, unmatched, total of tri-state results."""
     m = F.col("match")
-    return results.groupBy(*(by or [])).agg(F.count_if(m).alias("matches"), F.count_if(~m).alias("deviations"), F.count_if(m.isNull()).alias("unmatched"), F.count(F.lit(1)).alias("total"))
+    return results.groupBy(*(by or [])).agg(
+        F.count_if(m).alias("matches"), F.count_if(~m).alias("deviations"), F.count_if(m.isNull()).alias("unmatched"),
+        F.count(F.lit(1)).alias("total")
+    )
 
 
 def form_report(results: DataFrame, proposal: str, legal: str) -> DataFrame:
@@ -94,7 +104,10 @@ def form_report(results: DataFrame, proposal: str, legal: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("seq", "_line")))
     lines = F.array_join(F.transform(rows, lambda x, i: F.concat(F.lit("| "), (i + 1).cast("string"), F.lit(" | "), x["_line"], F.lit(" |\n"))), "")
     m = F.col("match")
-    out = numbered.agg(F.count_if(m).alias("a"), F.count_if(~m).alias("b"), F.count_if(m.isNull()).alias("c"), F.count(F.lit(1)).alias("n"), lines.alias("lines"))
+    out = numbered.agg(
+        F.count_if(m).alias("a"), F.count_if(~m).alias("b"), F.count_if(m.isNull()).alias("c"), F.count(F.lit(1)).alias("n"),
+        lines.alias("lines")
+    )
     return out.select(F.concat(
         F.lit(f"{FORM_TITLE}\n\n**Proposal:** `{proposal}`  \n**Legal document:** `{legal}`  \n\n{COUNTS_HEAD}"),
         F.format_string("| %d | %d | %d | %d |\n\n---\n\n## Field-by-Field Results\n\n", "a", "b", "c", "n"), F.lit(FORM_HEAD), "lines", F.lit("\n---\n"),

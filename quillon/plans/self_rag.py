@@ -25,12 +25,21 @@ def self_rag(queries: DataFrame, store: DataFrame, decider: Decider, k: int = TO
     wants = F.coalesce(F.lower(F.trim("d0.response")) == "yes", F.lit(False))
     plain = asked.filter(~wants).select("query_id", "query", F.lit("No retrieval necessary.").alias("context"))
     wanted = asked.filter(wants).select("query_id", "query", "vector")
-    hits = top_k(store, wanted, k, key="key", query="query_id").join(store.select("key", F.col("content").alias("context")), "key").join(wanted.select("query_id", "query"), "query_id")
+    hits = top_k(store, wanted, k, key="key", query="query_id").join(
+        store.select("key", F.col("content").alias("context")), "key"
+    ).join(wanted.select("query_id", "query"), "query_id")
     judged = ask(hits, "relevance", {"query": F.col("query"), "context": F.col("context")}, "d1")
     relevant = judged.filter(F.lower(F.trim("d1.response")) == "relevant")
-    without = wanted.join(relevant.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "query", F.lit("No relevant context found.").alias("context"))
-    answered = ask(relevant.select("query_id", "query", "context", F.col("rank").alias("position")), "generate", {"query": F.col("query"), "context": F.col("context")}, "g").withColumn("response", F.col("g.response"))
+    without = wanted.join(relevant.select("query_id").distinct(), "query_id", "left_anti").select(
+        "query_id", "query", F.lit("No relevant context found.").alias("context")
+    )
+    answered = ask(
+        relevant.select("query_id", "query", "context", F.col("rank").alias("position")), "generate",
+        {"query": F.col("query"), "context": F.col("context")}, "g"
+    ).withColumn("response", F.col("g.response"))
     answered = ask(answered, "support", {"response": F.col("response"), "context": F.col("context")}, "s").withColumn("support", F.col("s.response"))
     answered = ask(answered, "utility", {"query": F.col("query"), "response": F.col("response")}, "u").withColumn("utility", F.col("u.response"))
-    rest = ask(plain.unionByName(without), "generate", {"query": F.col("query"), "context": F.col("context")}, "g").select("query_id", F.col("g.response").alias("response"))
+    rest = ask(
+        plain.unionByName(without), "generate", {"query": F.col("query"), "context": F.col("context")}, "g"
+    ).select("query_id", F.col("g.response").alias("response"))
     return best_response(answered).select("query_id", "response").unionByName(rest)

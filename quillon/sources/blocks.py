@@ -96,7 +96,9 @@ def form_fields_with_fallback(cells: DataFrame, blocks: DataFrame, decide: Calla
     found = extract_form_fields(cells)
     text = F.substring(joined(F.collect_list(F.struct("seq", "text")), "\n"), 1, FORM_PROMPT_CHARS)
     asked = blocks.join(found.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(text.alias("prompt"))
-    fields = asked.select("doc_id", F.posexplode(decide(F.col("prompt"))).alias("seq", "f")).select("doc_id", "seq", F.coalesce("f.page", F.lit(1)).alias("page"), "f.name", "f.value")
+    fields = asked.select("doc_id", F.posexplode(decide(F.col("prompt"))).alias("seq", "f")).select(
+        "doc_id", "seq", F.coalesce("f.page", F.lit(1)).alias("page"), "f.name", "f.value"
+    )
     return found.unionByName(fields)
 
 
@@ -108,4 +110,7 @@ def load_sections_json(spark: SparkSession, path: str) -> DataFrame:
     rows = files.select("doc_id", F.posexplode(keys).alias("ord", "key"), flat.alias("m")).select("doc_id", "key", "ord", F.col("m")[F.col("key")].alias("v"))
     nested = F.from_json("v", "text string, page_numbers array<int>")
     paged = rows.withColumn("n", F.when(F.col("v").startswith("{"), nested))
-    return paged.select("doc_id", "key", "ord", F.coalesce("n.text", "v").alias("text"), F.coalesce("n.page_numbers", F.array().cast("array<int>")).alias("page_numbers"))
+    return paged.select(
+        "doc_id", "key", "ord", F.coalesce("n.text", "v").alias("text"),
+        F.coalesce("n.page_numbers", F.array().cast("array<int>")).alias("page_numbers")
+    )

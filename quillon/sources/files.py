@@ -88,7 +88,9 @@ def read_pdf_shapes(spark: SparkSession, path: str, extract: Callable[[bytes], I
         with pymupdf.open(stream=data, filetype="pdf") as doc:
             for number, page in enumerate(doc, 1):
                 for k, d in enumerate(page.get_drawings()):
-                    yield "drawing", number, k, *map(float, d["rect"]), None, None, None, *(list(map(float, d[c])) if d.get(c) else None for c in ("color", "fill"))
+                    yield "drawing", number, k, *map(float, d["rect"]), None, None, None, *(
+                        list(map(float, d[c])) if d.get(c) else None for c in ("color", "fill")
+                    )
                 for k, w in enumerate(page.get_text("words")):
                     yield "word", number, k, *map(float, w[:4]), w[4], None, None, None, None
                 spans = [s for b in page.get_text("rawdict")["blocks"] for line in b.get("lines", []) for s in line["spans"]]
