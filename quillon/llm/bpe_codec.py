@@ -85,8 +85,12 @@ class Codec:
             own, other = left[a : a + AGREE_TOKENS], right[max(0, b - AGREE_TOKENS) : b]
             window = self.tokenizer.encode((self.text_bytes(left[a:]) + self.text_bytes(right[:b])).decode(), add_special_tokens=False)
             ids = np.array(window.ids, np.uint32)
-            fits_left = a == 0 or (len(left) - a > AGREE_TOKENS and len(self.text_bytes(left[a + AGREE_TOKENS :])) >= MARGIN_BYTES and np.array_equal(ids[:AGREE_TOKENS], own))
-            fits_right = b == len(right) or (b > AGREE_TOKENS and len(self.text_bytes(right[: b - AGREE_TOKENS])) >= MARGIN_BYTES and np.array_equal(ids[-AGREE_TOKENS:], other))
+            fits_left = a == 0 or (
+                len(left) - a > AGREE_TOKENS and len(self.text_bytes(left[a + AGREE_TOKENS :])) >= MARGIN_BYTES and np.array_equal(ids[:AGREE_TOKENS], own)
+            )
+            fits_right = b == len(right) or (
+                b > AGREE_TOKENS and len(self.text_bytes(right[: b - AGREE_TOKENS])) >= MARGIN_BYTES and np.array_equal(ids[-AGREE_TOKENS:], other)
+            )
             if fits_left and fits_right:
                 return np.concatenate([left[:a], ids, right[b:]])
             k *= 2

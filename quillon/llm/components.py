@@ -56,4 +56,6 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     else:
         raise RuntimeError("the components did not settle")
-    return current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    return current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
+        current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    )

@@ -59,7 +59,10 @@ def item_windows(items: DataFrame, n: int) -> DataFrame:
                     hashes = runs(w.hash[first:last], size).view(np.int64).tolist()
                     rows += [(size, h, b" ".join(map(w.text, range(first + k, first + k + size))), item) for k, h in enumerate(hashes)]
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["n", "hash", "words", "item"])
+            yield pa.record_batch(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)],
+                ["n", "hash", "words", "item"]
+            )
 
     rows = items.mapInArrow(run, "n int, hash long, words binary, item long")
     return rows.groupBy("n", "hash", "words").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
@@ -74,7 +77,9 @@ def _index(rows: pa.Table) -> list[Windows]:
         words, ids = (rows.column(c).combine_chunks().take(pa.array(own)) for c in ("words", "item_ids"))
         bitmap = np.zeros(1 << BITMAP_BITS, bool)
         bitmap[hashes[own] >> U(64 - BITMAP_BITS)] = True
-        sizes = [np.concatenate([[0], np.cumsum(x.to_numpy(zero_copy_only=False))]).astype(np.int64) for x in (pc.binary_length(words), pc.list_value_length(ids))]
+        sizes = [
+            np.concatenate([[0], np.cumsum(x.to_numpy(zero_copy_only=False))]).astype(np.int64) for x in (pc.binary_length(words), pc.list_value_length(ids))
+        ]
         out.append(Windows(n, hashes[own], bitmap, b"".join(words.to_pylist()), sizes[0], ids.flatten().to_numpy(), sizes[1]))
     return out
 
@@ -135,7 +140,10 @@ def _mark_block(docs: DataFrame, index: Broadcast | None, keep: list[str], names
                 spans, items = ([[] for _ in range(b - a)] for _ in range(2))
                 for i, (found, found_items) in hits.items():
                     first, begin = int(w.at[i]), int(w.begin[i])
-                    spans[i] = [{"first": x, "last": y, "begin": int(w.start[first + x]) - begin, "end": int(w.end[first + y - 1]) - begin} for x, y in _merged(found)]
+                    spans[i] = [
+                        {"first": x, "last": y, "begin": int(w.start[first + x]) - begin, "end": int(w.end[first + y - 1]) - begin} for x,
+                        y in _merged(found)
+                    ]
                     items[i] = sorted(found_items)
                 made = [pa.array(v, t) for v, t in zip((np.diff(w.at), spans, items), _KINDS, strict=True)]
                 out = pa.record_batch([*(part.column(k) for k in keep), *made], [*keep, *names])
@@ -145,7 +153,10 @@ def _mark_block(docs: DataFrame, index: Broadcast | None, keep: list[str], names
     return docs.mapInArrow(run, ", ".join([*kinds, *(f"`{k}` {t}" for k, t in zip(names, _SQL_KINDS, strict=True))]))
 
 
-def mark(docs: DataFrame, items: DataFrame, n: int = NGRAM, keep: list[str] | None = None, max_windows: int = MAX_WINDOWS, names: Sequence[str] = NAMES) -> DataFrame:
+def mark(
+    docs: DataFrame, items: DataFrame, n: int = NGRAM, keep: list[str] | None = None, max_windows: int = MAX_WINDOWS,
+    names: Sequence[str] = NAMES
+) -> DataFrame:
     """The columns keep (all) of docs, which has a text column, with the three columns names: number of words, spans, item ids.
 
     Spans count words (last is one past) and UTF-8 bytes of the text; overlapping and adjoining hits are one span.

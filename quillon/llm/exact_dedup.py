@@ -65,7 +65,9 @@ def identify(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_hash: Callab
     """
     rows = texts_of(docs).select("doc_id", F.sha2("text", 256).alias("sha"), F.col("text").cast("binary").alias("data"))
     hashes = F.transform(_blocks(F.col("data"), block_bytes), lambda b: block_hash(b))
-    base = rows.select("doc_id", "sha", hashes.alias("hashes")).groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("copies"), F.any_value("hashes").alias("hashes"))
+    base = rows.select("doc_id", "sha", hashes.alias("hashes")).groupBy("doc_id", "sha").agg(
+        F.count(F.lit(1)).alias("copies"), F.any_value("hashes").alias("hashes")
+    )
     base = durable(base.withColumn("rid", F.monotonically_increasing_id()))
     contents = rows.select(F.explode(_blocks(F.col("data"), block_bytes)).alias("block")).select(block_hash(F.col("block")).alias("h"), "block").distinct()
     names = durable(_named(contents, "h", "block").select("h", "name"))
@@ -101,7 +103,10 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_hash: Ca
     groups = durable(rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     return (
         rows.join(groups, ["level", "name"])
-        .select("doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), F.col("sha").alias("text_sha256"))
+        .select(
+            "doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+            F.col("sha").alias("text_sha256")
+        )
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     )
 
@@ -114,8 +119,13 @@ def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     the_id, the_sha, staying, copies = unused(docs, "kept_id", "kept_sha", "staying", "copies")
     found = durable(exact_groups(docs, block_bytes).select("doc_id", "kept", "text_sha256"))
-    gone = found.groupBy(F.col("doc_id").alias(the_id), F.col("text_sha256").alias(the_sha)).agg(F.bool_or("kept").alias(staying), F.count(F.lit(1)).alias(copies))
-    return without_rows(docs, durable(gone.filter(~F.col(staying) | (F.col(copies) > 1))), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), the_id, the_sha, staying)
+    gone = found.groupBy(
+        F.col("doc_id").alias(the_id), F.col("text_sha256").alias(the_sha)
+    ).agg(F.bool_or("kept").alias(staying), F.count(F.lit(1)).alias(copies))
+    return without_rows(
+        docs, durable(gone.filter(~F.col(staying) | (F.col(copies) > 1))), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), the_id,
+        the_sha, staying
+    )
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, key: Column, the_id: str, the_key: str, staying: str) -> DataFrame:

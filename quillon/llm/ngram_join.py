@@ -69,7 +69,10 @@ def _describe(docs: DataFrame, words: int, more: tuple[str, ...]) -> DataFrame:
 
         def rows(own: list[pa.Array], n: np.ndarray, high: np.ndarray, low: np.ndarray, frequent: list) -> pa.RecordBatch:
             kind = pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())]))
-            return pa.record_batch([*own, pa.array(n, pa.int64()), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(frequent, kind)], [*ids, "n", "high", "low", "frequent"])
+            return pa.record_batch(
+                [*own, pa.array(n, pa.int64()), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(frequent, kind)],
+                [*ids, "n", "high", "low", "frequent"]
+            )
 
         nothing = lambda n: rows([pa.nulls(1, pa.int64())] * len(ids), np.array([-1]), np.zeros(1, U), np.zeros(1, U), [n])
         size = 0
@@ -175,7 +178,9 @@ def candidates(docs: DataFrame, rule: Rule, largest: int, frequent: np.ndarray)
     return pairs.filter("a <> b")
 
 
-def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], rule: Rule, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+def links_in_tile(
+    ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], rule: Rule, copies: np.ndarray | None = None
+) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links of a spanning forest of a tile's sets, which come in order of size, and each set's links to others, weighted by their copies (zeros without copies).
 
     Sets are compared across two sides, or all with each other if all have one.
@@ -200,7 +205,10 @@ def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], rul
         if not len(js):
             continue
         need, mine, theirs = rule.need(sizes[i] + sizes[js]), bitmaps[i], bitmaps[js]
-        bound = np.minimum(sizes[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), sizes[js] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+        bound = np.minimum(
+            sizes[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64),
+            sizes[js] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64)
+        )
         js, need = js[bound >= need], need[bound >= need]
         mark[codes[at[i] : at[i + 1]]] = True
         for step in range(0, len(js), 256):
@@ -254,7 +262,9 @@ def _links(rows: DataFrame, rule: Rule, count: bool) -> DataFrame:
             kept = {r[1]: r for r in held}  # repeated rows of one document count once
             ids, side = np.array([*kept]), np.array([r[0] for r in kept.values()])
             copies = np.array([r[3] for r in kept.values()]) if count else None
-            found, degree = links_in_tile(ids, side, [np.frombuffer(r[2], U) for r in kept.values()], rule, copies) if len(kept) > 1 else ([], np.zeros(1, np.int64))
+            found, degree = links_in_tile(
+                ids, side, [np.frombuffer(r[2], U) for r in kept.values()], rule, copies
+            ) if len(kept) > 1 else ([], np.zeros(1, np.int64))
             rows = [(a, b, None) for a, b in found] + [(int(ids[k]), None, int(degree[k])) for k in np.flatnonzero(degree)]
             return pa.record_batch([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], ["a", "b", "n"])
 

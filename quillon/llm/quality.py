@@ -26,7 +26,12 @@ THRESHOLD = 0.5
 #: Sites up to which their table is broadcast (some 100 bytes each).
 BROADCAST_SITES = 100_000
 STRENGTH = (1.0, 1e6)
-_CLASSES = np.stack([byte_class((65, 90)), byte_class((97, 122)), byte_class((48, 57)), byte_class((128, 255)), byte_class((32, 32)), byte_class((9, 13)), byte_class((33, 47), (58, 64), (91, 96), (123, 126))])
+_CLASSES = np.stack(
+    [
+        byte_class((65, 90)), byte_class((97, 122)), byte_class((48, 57)), byte_class((128, 255)), byte_class((32, 32)),
+        byte_class((9, 13)), byte_class((33, 47), (58, 64), (91, 96), (123, 126))
+    ]
+)
 FEATURES = len(_CLASSES) + 6
 
 
@@ -64,7 +69,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         for batch in parts:
             for a, b in batches(batch.column("text")):
                 part = batch.slice(a, b - a)
-                yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array([*features(part.column("text"))], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+                yield pa.record_batch(
+                    [part.column("doc_id"), part.column("y"), pa.array([*features(part.column("text"))], pa.list_(pa.float64()))],
+                    ["doc_id", "y", "x"]
+                )
 
     known = sample(docs, labels, "quality", max_labelled).mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id", "y").collect()
     x = np.array([r.x for r in known]) if known else np.zeros((0, FEATURES))
@@ -103,7 +111,10 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_la
                 p = np.clip(predict((features(part.column("text")) - mean) / scale, weights), 1e-4, 1 - 1e-4)
                 yield pa.record_batch([part.column("doc_id"), part.column("host"), part.column("path"), pa.array(p)], ["doc_id", "host", "path", "p_document"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")
+    )
     scored = durable(rows.mapInArrow(run, "doc_id long, host string, path string, p_document double"))
     total = lambda level: (F.sum("p_document") if level == "doc" else F.sum("s")).alias("s")
     paths = durable(scored.groupBy("host", "path").agg(total("doc"), F.count(F.lit(1)).alias("n")))
@@ -118,7 +129,9 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_la
         sites = F.broadcast(sites)
     own = scored.join(sites, ["host", "path"])
     host_rate = (F.col("host_s") - F.col("p_document") + k_host * overall) / (F.col("host_n") - 1 + k_host)
-    own = own.withColumn("host_rate", host_rate).withColumn("path_rate", (F.col("s") - F.col("p_document") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path))
+    own = own.withColumn("host_rate", host_rate).withColumn(
+        "path_rate", (F.col("s") - F.col("p_document") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path)
+    )
     inside = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = _logit(F.col("p_document")) + _logit(inside(F.col("path_rate"))) - _logit(inside(F.lit(overall)))
     own = own.withColumn("quality", 1 / (1 + F.exp(-odds)))

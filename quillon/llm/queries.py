@@ -51,7 +51,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums = [token_store.crc32_of(ids) for ids in b.column("ids").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.record_batch(
+                [b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())],
+                ["doc_id", "start", "n_tokens", "ids_crc32"]
+            )
 
     return token_store.read_ids(spark, path).mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -84,7 +87,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated")
+    )
 
 
 SQL["op9_decontamination"] = r"""

@@ -78,7 +78,9 @@ def numbered(rows: DataFrame, by: str, number: str, *order: str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The last key parts rows that are equal in all others, so a value of any size can be cut.
     keys = [by, *(F.col(c).asc_nulls_first() for c in order), "_tie"]
-    ranged = durable(rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
+    ranged = durable(
+        rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id())
+    )
     part = F.shiftright("_at", 33)
     runs = ranged.groupBy(by, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # A row for each value and partition that it is in.
@@ -95,7 +97,12 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     slots count from 0 within each shard by doc_id (nulls first, repeated rows in any order). Other columns are ignored. An empty
     table gives no rows.
     """
-    rows = durable(texts_of(docs).select("doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("sha")))
+    rows = durable(
+        texts_of(docs).select(
+            "doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+            F.unhex(F.sha2("text", 256)).alias("sha")
+        )
+    )
     groups = numbered(rows.groupBy("sha").agg(F.sum("size").alias("bytes")), "bytes", "place", "sha")
     counts = groups.groupBy("bytes").agg(F.max("place").alias("last")).orderBy(F.desc("bytes")).toArrow()
     sizes = [(size, last + 1) for size, last in zip(counts.column("bytes").to_pylist(), counts.column("last").to_pylist(), strict=True)]

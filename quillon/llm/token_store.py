@@ -141,9 +141,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 data, ends = unpack(s["index"], s["payload"], s["planes"]).tobytes(), np.cumsum(s["lengths"], dtype=np.int64)
                 first = ends - np.array(s["lengths"], np.int64)
                 bits = [data[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(s["doc_ids"], pa.int64()), pa.array(first + s["start"]), pa.array(s["lengths"], pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-    with_start = segments.join(starts, "part").select((F.col("part_start") + F.col("before")).alias("start"), "doc_ids", "lengths", "planes", "index", "payload")
+                yield pa.record_batch(
+                    [pa.array(s["doc_ids"], pa.int64()), pa.array(first + s["start"]), pa.array(s["lengths"], pa.int64()), pa.array(bits, pa.binary())],
+                    ["doc_id", "start", "n_tokens", "ids"]
+                )
+
+    with_start = segments.join(starts, "part").select(
+        (F.col("part_start") + F.col("before")).alias("start"), "doc_ids", "lengths", "planes", "index", "payload"
+    )
     return with_start.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 

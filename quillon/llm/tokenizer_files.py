@@ -25,7 +25,10 @@ def load(file: str) -> Tokenizer:
 def without_rules(file: str, mark: str) -> Tokenizer:
     """The vocabulary and merges in file, for normalised pre-tokens with a mark between them."""
     spec = definition(file)
-    parts = [{"type": "Split", "pattern": {"String": mark}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    parts = [
+        {"type": "Split", "pattern": {"String": mark}, "behavior": "Isolated", "invert": False},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    ]
     plain = spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": parts}}
     return Tokenizer.from_str(json.dumps(plain))
 

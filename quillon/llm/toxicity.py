@@ -90,7 +90,10 @@ def _picked(rows: DataFrame, sizes: dict[tuple[int, int], int], most: int) -> di
                     span = slice(w.at[i], w.at[i + 1])
                     own = np.unique(np.concatenate([w.hash[span], starts[span]]))
                     own = own[own != 0]
-                    yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(np.full(len(own), y[i], np.int32)), pa.array(np.full(len(own), fold[i], np.int32))], ["term", "y", "fold"])
+                    yield pa.record_batch(
+                        [pa.array(own.view(np.int64)), pa.array(np.full(len(own), y[i], np.int32)), pa.array(np.full(len(own), fold[i], np.int32))],
+                        ["term", "y", "fold"]
+                    )
 
     left = [-1, *range(FOLDS)]
     used = lambda k: F.col("fold") != k
@@ -153,10 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                 own, which = _occurrences(w, every, bitmap)
                 seen = [np.bincount(which[own == i], minlength=0) for i in range(b - a)]
                 lists = [[pa.array([f(s) for s in seen], pa.list_(pa.int32())) for f in (np.flatnonzero, lambda s: s[s > 0])]]
-                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "y", "quality", "fold")), pa.array(np.diff(w.at)), pa.array([*form], pa.list_(pa.float64())), *lists[0]], names)
+                yield pa.record_batch(
+                    [
+                        *(part.column(c) for c in ("doc_id", "y", "quality", "fold")), pa.array(np.diff(w.at)),
+                        pa.array([*form], pa.list_(pa.float64())), *lists[0]
+                    ],
+                    names
+                )
 
     names = ["doc_id", "y", "quality", "fold", "words", "form", "terms", "counts"]
-    known = rows.mapInArrow(run, "doc_id long, y int, quality int, fold int, words long, form array<double>, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    known = rows.mapInArrow(
+        run, "doc_id long, y int, quality int, fold int, words long, form array<double>, terms array<int>, counts array<int>"
+    ).toArrow().sort_by("doc_id")
     n = known.num_rows
     column = lambda c: known.column(c).to_numpy()
     fold, toxic, words, quality = column("fold"), column("y").astype(float), column("words"), column("quality").astype(float)
