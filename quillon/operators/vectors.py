@@ -43,11 +43,14 @@ def embed_with(function: Callable[[list[str]], list[list[float]]]) -> Callable[[
 def digest_embedder() -> Callable[[Column], Column]:
     """Unit vectors from the bytes of a text's MD5, in the JVM: reproducible stand-ins without any meaning."""
 
+    # A value that lambdas use more than once is bound by one of its own, so that it is worked out once.
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    raw = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda v: once(norm(v), lambda n: F.transform(v, lambda x: F.try_divide(x, n)))
+
     def embed(text: Column) -> Column:
-        digest = F.md5(text.cast("binary"))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(raw, lambda x: F.try_divide(x, norm))
+        return once(F.md5(text.cast("binary")), lambda digest: once(raw(digest), unit))
 
     return embed
 

@@ -1,4 +1,4 @@
-"""End-to-end extraction: definitions, any named section, statements; and the section index."""
+"""End-to-end extraction: definitions, any named section, statements; and the section index. Chunks are embedded once, durably."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.durable import durable
 from quillon.operators import chunks as C
 from quillon.operators import collate, gather, split, vectors
 from quillon.operators.decide import Decider
@@ -52,7 +53,7 @@ def extract_section(chunks: DataFrame, query: str, embed: Callable[[Column], Col
     Candidates are the headings that the decider ranks, then those that retrieval ranks among the document's own chunks (top_k for each query). All are gathered and verified; the first
     that is verified counts, or else the last.
     """
-    spark, store = chunks.sparkSession, _keyed(vectors.build_chunk_store(chunks, embed))
+    spark, store = chunks.sparkSession, durable(_keyed(vectors.build_chunk_store(chunks, embed)))
     heads = vectors.unique_headings(chunks)
     listed = heads.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "base_heading"))), lambda x: x["base_heading"]).alias("headings"),
@@ -81,7 +82,7 @@ def extract_section(chunks: DataFrame, query: str, embed: Callable[[Column], Col
 
 def extract_definitions(chunks: DataFrame, embed: Callable[[Column], Column], top_k: int = 10) -> DataFrame:
     """For each document, the definitions section by retrieval among its own chunks (top_k for each query), the best anchor among the hits, and the walk from it."""
-    store = _keyed(vectors.build_chunk_store(chunks, embed))
+    store = durable(_keyed(vectors.build_chunk_store(chunks, embed)))
     hits = vectors.top_k(store, query_rows(chunks.sparkSession, [*DEFINITION_QUERIES], embed), top_k, "chunk_key", by="doc_id")
     candidates = store.join(hits.select("chunk_key").distinct(), "chunk_key", "left_semi")
     anchors = vectors.pick_anchor(candidates.withColumn("position", F.struct("start_page", "chunk_id")), ["doc_id"], "position")
@@ -93,7 +94,7 @@ def collate_statement(chunks: DataFrame, statement: str, embed: Callable[[Column
     spark = chunks.sparkSession
     asked = decider.decide(spark.createDataFrame([(statement,)], "statement string"), "terms", {"statement": F.col("statement")}, "d")
     terms = asked.select(F.posexplode("d.terms").alias("query_id", "term")).withColumn("vector", embed(F.col("term")))
-    store = _keyed(vectors.build_chunk_store(chunks, embed))
+    store = durable(_keyed(vectors.build_chunk_store(chunks, embed)))
     ranked = collate.gather_relevant(collate.retrieve_for_terms(store, terms, key="chunk_key"), terms, key="chunk_key")
     one = collate.render(collate.collate(ranked, store, key="chunk_key"))
     counted = ranked.agg(F.count(F.lit(1)).alias("match_count")).crossJoin(one).crossJoin(asked.select("statement", F.col("d.terms").alias("terms")))
