@@ -56,7 +56,7 @@ class Codec:
         self.tokenizer, self.leaf = tokenizer_files.load(file), leaf_chars
         chars = tokenizer_files.byte_of_char()
         by_id = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        special = {t["content"] for t in tokenizer_files.definition(file)["added_tokens"]}
+        special = set(tokenizer_files.special_strings(file))
         if MARGIN_BYTES <= max((len(s.encode()) for s in special), default=0):
             raise ValueError("a special string is longer than the margin around joins")
         self.bytes = [by_id[i].encode() if by_id.get(i, "") in special else bytes(map(chars.__getitem__, by_id.get(i, ""))) for i in range(max(by_id) + 1)]

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from quillon.llm.runtime import bytes_and_offsets, slices
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C55
 _VALUES = np.random.default_rng(20240917).integers(1, 2**64, 256, U)

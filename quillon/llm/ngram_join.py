@@ -47,7 +47,7 @@ COUNTED_DOCS, COUNTED_SHINGLES = 2048, 4_000_000
 BROADCAST_MEMBERS = 300_000
 MOST_BITS = 1 << 16
 #: Candidates that a task gathers before it leaves out what it knows to belong together.
-HELD_PARTS = 1 << 20
+HELD_PARTS = 1 << 18
 
 
 def _describe(docs: DataFrame, words: int, more: tuple[str, ...]) -> DataFrame:

@@ -33,12 +33,17 @@ def without_rules(file: str, mark: str) -> Tokenizer:
     return Tokenizer.from_str(json.dumps(plain))
 
 
-@functools.cache
 def definition(file: str) -> dict:
+    """The file's contents; not kept, as they are large."""
     with open(file, encoding="utf-8") as f:
         return json.load(f)
 
 
+@functools.cache
+def special_strings(file: str) -> list[str]:
+    return [t["content"] for t in definition(file)["added_tokens"]]
+
+
 @functools.cache
 def byte_of_char() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones stand for themselves."""
